@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrolith.llm import decontaminate, mixing, quality, sharding, simhash
-from ferrolith.llm._common import remainder
+from ferrolith.llm import chat, decontaminate, licenses, lm, mixing, quality, rules, sharding, simhash, warc
+from ferrolith.llm._common import remainder, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = licenses.report(_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(_table(spark, sf_dir, "pages"), out)
+    return warc.read_archives(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     got = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -34,11 +47,33 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = rules.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.plan(_table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    record = F.to_json(F.struct(F.array(*(F.struct(F.lit(r).alias("role"), F.lit(said).alias("content")) for r in ("user", "assistant"))).alias("messages")))
+    extra = chat.canonical_json(spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), record.alias("record")), "record")
+    turns = chat.canonical(_table(spark, sf_dir, "conversations")).unionByName(extra)
+    got = chat.read_back(chat.format_turns(turns))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return got.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -47,10 +82,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_licenses": op2_licenses,
+    "op3_warc": op3_warc,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
+    "op7_lm": op7_lm,
+    "op8_rules": op8_rules,
     "op9_mixing": op9_mixing,
+    "op10_chat": op10_chat,
     "pipeline": pipeline,
 }
 
