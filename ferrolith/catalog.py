@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ferrolith.plans.queries import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "search_materials"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
