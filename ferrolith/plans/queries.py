@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrolith.functions import chem, numeric
-from ferrolith.operators import acquisition, drift, fusion, metrics, ordered, pareto, physics, quality, search, similarity, splits
+from ferrolith.operators import acquisition, drift, fusion, learning, metrics, ordered, pareto, pathways, physics, quality, search, selection, similarity, splits
 from ferrolith.plans.stand_ins import MATERIALS, materials, phi, r6, read
 
 QUERIES: dict = {}
@@ -535,3 +535,87 @@ def pooled_topology(spark, sf_dir):
 def composition_vectors(spark, sf_dir):
     p = chem.parse_formula(F.col("formula"))
     return materials(spark, sf_dir).select("jid", numeric.clr_softmax(chem.fraction_vector(p, ["Li", "O", "Fe", "Si"])).alias("v"), chem.signature(p).alias("signature"), chem.z_moments(p).alias("z"))
+
+
+@query(f"{WITH}, e AS (SELECT jid, unnest(list_distinct([e1, e2])) AS element FROM materials) SELECT element, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, element LIMIT 24")
+def element_frequency(spark, sf_dir):
+    return selection.element_frequency(materials(spark, sf_dir))
+
+
+@query(f"""{WITH}, s AS (SELECT jid, row_number() OVER (ORDER BY spillage DESC, jid) AS r, row_number() OVER (ORDER BY ehull DESC, jid) AS u FROM materials),
+t AS (SELECT jid, 'score' AS picked_by FROM s WHERE r <= 14), v AS (SELECT jid FROM s WHERE r > 14 ORDER BY u LIMIT 6) SELECT * FROM t UNION ALL SELECT jid, 'uncertainty' FROM v""")
+def hybrid_budget(spark, sf_dir):
+    return selection.hybrid_budget(materials(spark, sf_dir), "spillage", "ehull", "jid", 20).select("jid", "picked_by")
+
+
+@query(f"{WITH} SELECT jid FROM materials ORDER BY md5('42:' || jid), jid LIMIT 25")
+def hash_sample(spark, sf_dir):
+    return selection.sample(materials(spark, sf_dir), "jid", 25).select("jid")
+
+
+@query(f"""{WITH}, r AS (SELECT min(spillage) AS a, max(spillage) AS b, min(ehull) AS c, max(ehull) AS d FROM materials)
+SELECT jid, round((spillage - a) / (b - a) + (1 - (ehull - c) / (d - c)), 6) AS screen_score FROM materials, r ORDER BY (spillage - a) / (b - a) + (1 - (ehull - c) / (d - c)) DESC, jid LIMIT 30""")
+def multi_objective_screen(spark, sf_dir):
+    return rounded(selection.screen(materials(spark, sf_dir), {"spillage": True, "ehull": False}, "jid", 30).select("jid", "screen_score"), "screen_score")
+
+
+@query("""WITH t AS (SELECT unnest(list_filter([CASE WHEN p_type LIKE '%STEEL%' THEN 'iron' END, CASE WHEN p_type LIKE '%BRASS%' OR p_type LIKE '%COPPER%' THEN 'copper' END, CASE WHEN p_type LIKE '%PLATED%' THEN 'plated' END], lambda x: x IS NOT NULL)) AS tag FROM part) SELECT tag, count(*) AS n FROM t GROUP BY 1""")
+def tag_counts(spark, sf_dir):
+    rules = {"iron": ["steel"], "copper": ["brass", "copper"], "plated": ["plated"]}
+    return selection.tag_counts(read(spark, sf_dir, "part").select(selection.tag(F.col("p_type"), rules).alias("tags")))
+
+
+@query("""WITH o AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'Li' ELSE 'Na' END AS "old", 'K' || (o_orderkey % 4) AS "new", CAST(o_orderkey % 10 AS DOUBLE) AS reward FROM orders) SELECT "old", "new", CAST(count(*) AS DOUBLE) AS n, sum(reward) AS reward FROM o GROUP BY 1, 2""")
+def substitution_stats(spark, sf_dir):
+    k = F.col("o_orderkey")
+    moves = read(spark, sf_dir, "orders").select(F.concat(F.when(k % 3 == 0, "Li").otherwise("Na"), F.lit("->K"), (k % 4).cast("string"), F.lit("; bad")).alias("mutations"), (k % 10).cast("double").alias("reward"))
+    return selection.update_substitutions(None, moves)
+
+
+@query("""WITH a AS (SELECT s AS seed, CASE WHEN (c_custkey + s) % 10 < 8 THEN 'train' ELSE 'test' END AS split FROM customer, range(3) t(s)), n AS (SELECT seed, split, count(*) AS n FROM a GROUP BY 1, 2)
+SELECT split, count(*) AS seeds, round(avg(n), 6) AS mean, round(stddev_pop(n) / avg(n), 6) AS cv, round((max(n) - min(n)) / avg(n), 6) AS relative_range FROM n GROUP BY 1""")
+def seed_stability(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seed"))
+    a = c.select("seed", F.when((F.col("c_custkey") + F.col("seed")) % 10 < 8, "train").otherwise("test").alias("split"))
+    return rounded(selection.seed_stability(a), "mean", "cv", "relative_range")
+
+
+@query("""WITH e AS (SELECT event_id, ts, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 128) SELECT count(*) AS n, round(sqrt(avg((value / 100) * (value / 100))), 6) AS rms, round(quantile_cont(abs(value / 100), 0.9), 6) AS quantile FROM e""")
+def recent_residuals(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.struct("ts", "event_id").alias("o"), (F.col("value") / 100).alias("z"))
+    return rounded(quality.rolling_residual_scale(e, "o", "z"), "rms", "quantile")
+
+
+@query("""WITH RECURSIVE x AS (SELECT s_nationkey AS n, s_suppkey, s_acctbal FROM supplier) SELECT n AS entity, count(*) AS n, round(avg(s_acctbal), 4) AS mean, round(stddev_pop(s_acctbal), 4) AS std FROM x GROUP BY 1""")
+def ensemble_spread(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("entity"), "s_acctbal")
+    got = metrics.ensemble(s, ["entity"], "s_acctbal").join(s.groupBy("entity").agg(F.count("*").alias("n")), "entity")
+    return got.select("entity", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+
+
+@query()
+def step_paths(spark, sf_dir):
+    """Bounded paths between nations over suppliers' and customers' shared orders as steps."""
+    n = read(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    edges = n.select(F.col("n_regionkey").alias("entity"), k.cast("string").alias("src"), F.explode(F.array(((k + 5) % 25).cast("string"), ((k + 10) % 25).cast("string"))).alias("dst"), (k % 3 / 10).alias("delta_g"), (k % 5 / 10 + 0.1).alias("activation"))
+    ends = n.groupBy(F.col("n_regionkey").alias("entity")).agg(F.min(k).cast("string").alias("a"), F.max(k).cast("string").alias("b"))
+    found = pathways.paths(edges, ends.select("entity", F.col("a").alias("node")), ends.select("entity", F.col("b").alias("node")))
+    return pathways.synthesis_score(pathways.best_path(pathways.feasible(found)))
+
+
+@query()
+def embedding_clusters(spark, sf_dir):
+    return learning.clusters(read(spark, sf_dir, "embeddings"), "embedding", k=10).groupBy("cluster", "label").agg(F.count("*").alias("n"))
+
+
+@query()
+def composition_forest(spark, sf_dir):
+    m = materials(spark, sf_dir).select("jid", "part", "formula", "label")
+    return learning.composition_forest(m.where("part % 5 <> 0"), m.where("part % 5 = 0"), "label", trees=10).select("jid", "probability")
+
+
+@query()
+def option_products(spark, sf_dir):
+    r = read(spark, sf_dir, "region").select("r_regionkey", F.array(F.lit("a"), F.lit("b")).alias("x"), F.array(F.lit("c"), F.lit("d"), F.lit("e")).alias("y"))
+    return selection.option_products(r, "r_regionkey", ["x", "y"])
