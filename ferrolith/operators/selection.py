@@ -54,7 +54,7 @@ def option_products(df: DataFrame, key: str, options: list[str], most: int = 409
 def subsets(elements: Column, most: int = 12) -> Column:
     """All non-empty subsets of an array of at most ``most`` elements, by bit masks, smaller first."""
     n = F.least(F.size(elements), F.lit(most))
-    masks = F.sequence(F.lit(1).cast("long"), F.shiftleft(F.lit(1).cast("long"), n) - 1)
+    masks = F.sequence(F.lit(1).cast("long"), (F.pow(F.lit(2.0), n) - 1).cast("long"))
     made = F.transform(masks, lambda m: F.filter(F.slice(elements, F.lit(1), n), lambda _, i: F.getbit(m, i) == 1))
     return F.transform(F.array_sort(F.transform(made, lambda s: F.struct(F.size(s).alias("n"), s.alias("s")))), lambda x: x["s"])
 
