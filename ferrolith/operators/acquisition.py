@@ -98,13 +98,20 @@ def composite(topology: Column, stability: Column, heuristic: Column, novelty: C
 
 def risk_gate(ood: Column, conformal: Column, most_ood: float = 0.5, most_conformal: float = 0.5, both: bool = False) -> Column:
     """Whether a row is too risky: by either measure, or by both."""
-    a, b = ood > most_ood, conformal > most_conformal
+    a, b = ood >= most_ood, conformal >= most_conformal
     return a & b if both else a | b
 
 
-def policy_utility(df: DataFrame, gain: str, cost: str, feasible: str, risk: str, mode: str = "hybrid", most_risk: float = 0.6, weight: float = 0.5) -> DataFrame:
-    """``utility``: feasible gain per cost; soft: less by risk, hard: 0 beyond the bound, hybrid: both."""
-    base = F.col(gain) * clip(F.col(feasible), 0, 1) / F.greatest(F.col(cost), F.lit(1e-6))
-    soft = base * (1 - weight * clip(F.col(risk), 0, 1))
-    used = {"soft": soft, "hard": base, "hybrid": soft}[mode]
-    return df.withColumn("utility", F.when(F.col(risk) > most_risk, 0.0).otherwise(used) if mode != "soft" else used)
+def policy_utility(df: DataFrame, mode: str = "hybrid", novelty_boost: float = 0.25, eps: float = 1e-3, ood_weight: float = 0.3, conformal_weight: float = 0.2, **gate) -> DataFrame:
+    """``df`` with risk_score, reject_reason, utility and gain_per_cost.
+
+    From stability, novelty, cost, feasibility, ood and conformal (shares): the base is stability with a
+    boost for novelty, per cost, times feasibility; the risk's penalty is taken off. Rows that the gate
+    hits are ruled out (hard), halved first (hybrid) or only penalized (soft).
+    """
+    base = F.greatest(F.col("stability"), F.lit(0.0)) * (1 + novelty_boost * F.col("novelty")) / (F.col("cost") + eps) * F.greatest(F.col("feasibility"), F.lit(1e-6))
+    penalty = ood_weight * clip(F.col("ood"), 0, 1) + conformal_weight * clip(F.col("conformal"), 0, 1)
+    hit = risk_gate(clip(F.col("ood"), 0, 1), clip(F.col("conformal"), 0, 1), **gate) & F.lit(mode != "soft")
+    hard = F.lit(-1e9) if mode == "hard" else base * 0.5 - penalty
+    out = df.withColumns({"risk_score": clip(penalty, 0, 1), "reject_reason": F.when(hit, "risk_gate").otherwise(""), "utility": F.when(hit, hard).otherwise(base - penalty)})
+    return out.withColumn("gain_per_cost", F.col("utility") / F.greatest(F.col("cost"), F.lit(eps)))

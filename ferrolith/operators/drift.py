@@ -79,7 +79,7 @@ def _sample(values: DataFrame, most: int) -> DataFrame:
 
 
 def mmd_squared(x: np.ndarray, y: np.ndarray) -> float:
-    """The unbiased squared maximum mean discrepancy, Gaussian kernel, median-heuristic bandwidth."""
+    """The unbiased squared maximum mean discrepancy, 0 at least, Gaussian kernel, median-heuristic bandwidth."""
     z = np.concatenate((x, y))
     gaps = np.abs(z[:, None] - z[None])
     positive = gaps[gaps > 1e-12]
@@ -88,7 +88,7 @@ def mmd_squared(x: np.ndarray, y: np.ndarray) -> float:
     n, m = len(x), len(y)
     if min(n, m) < 2:
         return 0.0
-    return float((k[:n, :n].sum() - n) / (n * (n - 1)) + (k[n:, n:].sum() - m) / (m * (m - 1)) - 2 * k[:n, n:].mean())
+    return max(0.0, (k[:n, :n].sum() - n) / (n * (n - 1)) + (k[n:, n:].sum() - m) / (m * (m - 1)) - 2 * k[:n, n:].mean())
 
 
 def mmd(old: DataFrame, new: DataFrame, most: int = 512) -> DataFrame:

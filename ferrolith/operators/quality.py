@@ -11,7 +11,7 @@ from ferrolith.functions.chem import present
 from ferrolith.functions.numeric import finite
 
 #: Provenance types with their trust points.
-PROVENANCE = {"dft_primary": 30, "experimental": 25, "dft_secondary": 20, "ml_predicted": 12, "synthetic": 8}
+PROVENANCE = {"dft_primary": 30, "experimental": 25, "db_import": 20, "literature": 12, "synthetic": 8}
 
 
 def column_or_null(df: DataFrame, name: str) -> Column:
@@ -108,12 +108,14 @@ def mean_shift(old: DataFrame, new: DataFrame, threshold: float = 0.5) -> DataFr
     return met.select("property", shift.alias("shift"), (shift > threshold).alias("alert"))
 
 
-def trust(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
+def trust(df: DataFrame, stats: dict[str, dict[str, float]]) -> DataFrame:
     """``df`` with trust_score (0 to 93) and trust_tier.
 
     Provenance type up to 30, completeness of the four provenance fields up to 20, schema 20,
-    plausibility 15 if every known property is within 3 standard deviations of ``stats`` (mean, std),
-    8 within 5 or if none is known, cross validation 8.
+    cross validation 8, and plausibility: each property of ``stats`` adds its share of 15 points if the
+    value lies within 3 scales of the middle, of 8 points within 5. Middle and scale are median and
+    1.4826 * MAD where these are given, else mean and std; missing values add none. Without ``stats``
+    plausibility is 8.
     """
     kind = present(column_or_null(df, "provenance_type"))
     provenance = F.lit(0)
@@ -121,11 +123,15 @@ def trust(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
         provenance = F.when(kind == name, F.lit(points)).otherwise(provenance)
     fields = [present(column_or_null(df, c)).isNotNull().cast("int") for c in ("provenance_type", "source_key", "source_version", "source_id")]
     complete = reduce(lambda a, b: a + b, fields) * 5
-    zs = [F.abs(F.col(p) - m) / (s if s > 1e-12 else 1.0) for p, (m, s) in stats.items() if p in df.columns]
-    worst = F.array_max(F.array(*zs)) if zs else F.lit(None).cast("double")
-    plausible = F.when(worst.isNull(), 8).when(worst <= 3, 15).when(worst <= 5, 8).otherwise(0)
+    plausible = F.lit(0.0 if stats else 8.0)
+    for p, s in stats.items():
+        robust = (s.get("mad") or 0) > 1e-12 and s.get("median") is not None
+        middle, scale = (s["median"], 1.4826 * s["mad"]) if robust else (s.get("mean"), s.get("std") or 0)
+        if p in df.columns and scale > 1e-12:
+            z = F.abs(F.col(p) - middle) / scale
+            plausible = plausible + F.when(z <= 3, 15 / len(stats)).when(z <= 5, 8 / len(stats)).otherwise(0.0)
     score = provenance + complete + 20 + plausible + 8
-    return df.withColumn("trust_score", score.cast("double")).withColumn("trust_tier", F.when(score >= 70, "benchmark").when(score >= 40, "curated").otherwise("raw"))
+    return df.withColumn("trust_score", score.cast("double")).withColumn("trust_tier", F.when(F.col("trust_score") >= 70, "benchmark").when(F.col("trust_score") >= 40, "curated").otherwise("raw"))
 
 
 def tier_counts(trusted: DataFrame) -> DataFrame:

@@ -190,18 +190,19 @@ def unit_check(spark, sf_dir):
     return quality.unit_violations(table, ["density", "ehull"], {"density": ["g/cm3"], "ehull": ["ev/atom"]})
 
 
-_TRUST = """trust AS (SELECT jid, CAST(CASE provenance_type WHEN 'dft_primary' THEN 30 WHEN 'experimental' THEN 25 WHEN 'dft_secondary' THEN 20 WHEN 'ml_predicted' THEN 12 WHEN 'synthetic' THEN 8 ELSE 0 END
-+ 5 * ((provenance_type IS NOT NULL)::INT + 1 + (source_version <> '')::INT + 1) + 28 + CASE WHEN abs(ehull - 0.1) / 0.01 <= 3 THEN 15 WHEN abs(ehull - 0.1) / 0.01 <= 5 THEN 8 ELSE 0 END AS DOUBLE) AS trust_score FROM materials)"""
+TRUST_STATS = {"ehull": {"mean": 0.1, "std": 0.01}, "hse_gap": {"median": 3.0, "mad": 0.5}}
+_TRUST = """trust AS (SELECT jid, CAST(CASE provenance_type WHEN 'dft_primary' THEN 30 WHEN 'experimental' THEN 25 WHEN 'db_import' THEN 20 WHEN 'literature' THEN 12 WHEN 'synthetic' THEN 8 ELSE 0 END
++ 5 * ((provenance_type IS NOT NULL)::INT + 1 + (source_version <> '')::INT + 1) + 28 + CASE WHEN abs(ehull - 0.1) / 0.01 <= 3 THEN 7.5 WHEN abs(ehull - 0.1) / 0.01 <= 5 THEN 4 ELSE 0 END + CASE WHEN abs(hse_gap - 3) / (1.4826 * 0.5) <= 3 THEN 7.5 WHEN abs(hse_gap - 3) / (1.4826 * 0.5) <= 5 THEN 4 ELSE 0 END AS DOUBLE) AS trust_score FROM materials)"""
 
 
 @query(f"{WITH}, {_TRUST} SELECT jid, trust_score, CASE WHEN trust_score >= 70 THEN 'benchmark' WHEN trust_score >= 40 THEN 'curated' ELSE 'raw' END AS trust_tier FROM trust")
 def trust_scores(spark, sf_dir):
-    return quality.trust(materials(spark, sf_dir), {"ehull": (0.1, 0.01)}).select("jid", "trust_score", "trust_tier")
+    return quality.trust(materials(spark, sf_dir), TRUST_STATS).select("jid", "trust_score", "trust_tier")
 
 
 @query(f"{WITH}, {_TRUST} SELECT t AS trust_tier, (SELECT count(*) FROM trust WHERE CASE WHEN trust_score >= 70 THEN 'benchmark' WHEN trust_score >= 40 THEN 'curated' ELSE 'raw' END = t) AS n FROM (VALUES ('benchmark'), ('curated'), ('raw')) v(t)")
 def trust_tiers(spark, sf_dir):
-    return quality.tier_counts(quality.trust(materials(spark, sf_dir), {"ehull": (0.1, 0.01)}))
+    return quality.tier_counts(quality.trust(materials(spark, sf_dir), TRUST_STATS))
 
 
 @query(f"""{WITH} SELECT n_rows, missing, list_filter([CASE WHEN missing > 10 THEN 'missing' END, CASE WHEN n_rows > 1000000000 THEN 'n_rows' END], lambda x: x IS NOT NULL) AS failures, missing <= 10 AS gate_pass

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ELEMENTS = ["Li", "O", "Fe", "Na", "Cl", "Bi", "Te", "Si", "C", "Sn"]
-KINDS = ["dft_primary", "experimental", "dft_secondary", "ml_predicted", "synthetic"]
+KINDS = ["dft_primary", "experimental", "db_import", "literature", "synthetic"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

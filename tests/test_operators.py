@@ -119,8 +119,8 @@ def test_drift(spark):
 def test_trust_and_outliers(spark):
     kind = "jid string, provenance_type string, source_key string, source_version string, source_id string, e double"
     t = spark.createDataFrame([("a", "dft_primary", "k", "1", "i", 0.5), ("b", "synthetic", None, None, None, 0.5), ("c", None, None, None, None, None)], kind)
-    got = {r.jid: r for r in quality.trust(t, {"e": (0.0, 1.0)}).collect()}
-    assert got["a"].trust_tier == "benchmark" and got["a"].trust_score == 93 and got["b"].trust_tier in ("raw", "curated") and got["c"].trust_score == 36
+    got = {r.jid: r for r in quality.trust(t, {"e": {"mean": 0.0, "std": 1.0}}).collect()}
+    assert got["a"].trust_tier == "benchmark" and got["a"].trust_score == 93 and got["b"].trust_tier in ("raw", "curated") and got["c"].trust_score == 28
     v = spark.createDataFrame([("e", str(i), float(x)) for i, x in enumerate([1, 1, 1, 1, 9])], "property string, jid string, value double")
     assert [r.jid for r in quality.outliers(v, "jid").collect()] == ["4"]
     assert quality.outliers(v.limit(2), "jid").count() == 0
@@ -170,6 +170,13 @@ def test_acquisition(spark):
     assert r.nei == pytest.approx(r.ei, abs=1e-6)
 
 
+def test_policy(spark):
+    t = spark.createDataFrame([(1.0, 1.0, 1.0, 1.0, 0.0, 0.0), (1.0, 1.0, 1.0, 1.0, 0.9, 0.0)], "stability double, novelty double, cost double, feasibility double, ood double, conformal double")
+    got = {m: [r.utility for r in acquisition.policy_utility(t, m).collect()] for m in ("soft", "hard", "hybrid")}
+    base = 1.25 / 1.001
+    assert got["soft"] == pytest.approx([base, base - 0.27]) and got["hard"] == pytest.approx([base, -1e9]) and got["hybrid"] == pytest.approx([base, base / 2 - 0.27])
+
+
 def test_splits(spark):
     assert splits.split_counts(10) == [8, 1, 1] and splits.split_counts(3) == [1, 1, 1] and sum(splits.split_counts(997)) == 997
     df = spark.createDataFrame([(f"s{i}", f) for i, f in enumerate(["Li2O", "Fe2O3", "NaCl", "CuO"] * 5)], "sample_id string, formula string")
