@@ -125,8 +125,8 @@ def write_archives(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, r
     rows = source.select("page_id", F.lit(1).alias("kind"), F.sha1("payload").alias("sha1"), "url", "payload", F.lit(None).cast("long").alias("top"))
     marks = roles(narrow, revisit_bytes).select("page_id", F.lit(0).alias("kind"), "sha1", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("top").cast("long").alias("top"))
     both = rows.unionByName(marks).withColumn("b", block).join(sized(dealt), "b").drop("b")
-    # equal ids meet in one shard, marks before pages
-    both = both.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "sha1", "kind", "url").select("shard", "page_id", "kind", "sha1", "url", "payload", "top")
+    # a shard is a partition, whatever a sample would say; equal ids meet in one shard, marks before pages
+    both = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "sha1", "kind", "url").select("shard", "page_id", "kind", "sha1", "url", "payload", "top")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, mark, before, made = _Roller(out, roll_bytes), None, None, []

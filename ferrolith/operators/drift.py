@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrolith.operators.ordered import cumulative
+from ferrolith.operators.ordered import cumulative, with_next
 
 
 def _pooled(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -26,10 +26,8 @@ def _pooled(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def wasserstein(old: DataFrame, new: DataFrame) -> DataFrame:
     """(property, wasserstein): the area between the two distribution functions, 0 under 2 values a side."""
-    run = _pooled(old, new)
-    # the area summed by parts needs no neighbour: |F - G| is constant up to the next pooled value
-    step = F.lead("value").over(Window.partitionBy("property").orderBy("value"))
-    area = run.withColumn("next", step).groupBy("property").agg(F.sum(F.abs(F.col("f_old") - F.col("f_new")) * (F.col("next") - F.col("value"))).alias("w"), F.first("n_old").alias("n_old"), F.first("n_new").alias("n_new"))
+    run = with_next(_pooled(old, new), ["property"], "value", "next")  # |F - G| is constant up to the next pooled value
+    area = run.groupBy("property").agg(F.sum(F.abs(F.col("f_old") - F.col("f_new")) * (F.col("next") - F.col("value"))).alias("w"), F.first("n_old").alias("n_old"), F.first("n_new").alias("n_new"))
     return area.select("property", F.when((F.col("n_old") >= 2) & (F.col("n_new") >= 2), F.coalesce("w", F.lit(0.0))).otherwise(0.0).alias("wasserstein"))
 
 

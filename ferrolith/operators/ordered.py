@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _ranges(df: DataFrame, keys: list[str], order: str, buckets: int) -> DataFrame:
+    """``df`` with ``__bucket``: which range of approximate quantiles of its key a row is in."""
+    share = [i / buckets for i in range(1, buckets)]
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(order, share).alias("__bounds"))
+    placed = df.join(bounds, keys) if keys else df.crossJoin(F.broadcast(bounds))  # without keys: one row
+    return placed.withColumn("__bucket", F.size(F.filter("__bounds", lambda b: b < F.col(order)))).drop("__bounds")
+
+
 def cumulative(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], buckets: int = 64) -> DataFrame:
     """``df`` with running sums of ``sums`` (new name: column), by ``order`` (distinct within a key).
 
     A key's rows fall into ranges by approximate quantiles; windows run inside ranges, and the ranges'
-    totals, at most ``buckets`` + 1 a key, give the offsets. No task gets a whole key.
+    totals, at most ``buckets`` a key, give the offsets. No task gets a whole key.
     """
-    share = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(order, share).alias("__bounds"))
-    placed = df.join(bounds, keys) if keys else df.crossJoin(F.broadcast(bounds))  # without keys: one row
-    placed = placed.withColumn("__bucket", F.size(F.filter("__bounds", lambda b: b < F.col(order)))).drop("__bounds")
+    placed = _ranges(df, keys, order, buckets)
     part = Window.partitionBy(*keys, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = placed.groupBy(*keys, "__bucket").agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -26,6 +31,15 @@ def cumulative(df: DataFrame, keys: list[str], order: str, sums: dict[str, str],
     return out.drop("__bucket", *(f"__o_{n}" for n in sums))
 
 
+def with_next(df: DataFrame, keys: list[str], order: str, name: str, buckets: int = 64) -> DataFrame:
+    """``df`` with the next greater ``order`` of the key (distinct within it), in ranges as in ``cumulative``."""
+    placed = _ranges(df, keys, order, buckets)
+    firsts = placed.groupBy(*keys, "__bucket").agg(F.min(order).alias("__first"))
+    after = firsts.select(*keys, "__bucket", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__bucket")).alias("__next"))
+    inside = F.lead(order).over(Window.partitionBy(*keys, "__bucket").orderBy(order))
+    return placed.join(after, [*keys, "__bucket"]).withColumn(name, F.coalesce(inside, F.col("__next"))).drop("__bucket", "__next")
+
+
 def keep_last(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """The row of the largest ``sequence`` for each key; a mergeable aggregate, not a sort of each key."""
     rest = [c for c in df.columns if c not in keys]
