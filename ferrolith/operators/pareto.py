@@ -6,6 +6,7 @@ is compared. Only that second, far smaller set meets in one place, where it is c
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,17 @@ from pyspark.sql import functions as F
 BLOCK = 512
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder; on one machine without one, in a temporary folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
+    return df.checkpoint()
+
+
 def dominated(points: np.ndarray, by: np.ndarray) -> np.ndarray:
     """Which of ``points`` are nowhere better and somewhere worse than one of ``by``; in blocks."""
     out = np.zeros(len(points), bool)
@@ -56,28 +68,59 @@ def pareto_front(df: DataFrame, objectives: list[str]) -> DataFrame:
     return finite.mapInPandas(local, df.schema).coalesce(1).mapInPandas(local, df.schema)
 
 
-def fronts(df: DataFrame, objectives: list[str], key: str, most: int = 20_000) -> DataFrame:
-    """(key, front): 0 for the first front, and so on; rows with a missing objective come last.
+def _layers(x: np.ndarray, most: int) -> np.ndarray:
+    """The front of each row among these rows, or ``most`` for all from there on."""
+    rank, left = np.full(len(x), most), np.arange(len(x))
+    for level in range(most):
+        if not len(left):
+            break
+        best = front_mask(x[left])
+        rank[left[best]] = level
+        left = left[~best]
+    return rank
+
+
+def fronts(df: DataFrame, objectives: list[str], key: str, at_once: int = 8) -> DataFrame:
+    """(key, front): 0 for the first front, and so on; rows with a missing or infinite objective come last.
 
-    Peeling is sequential, so the pool is bounded: more than ``most`` rows are refused.
+    A round finds the next ``at_once`` fronts of all rows. Each task keeps its own rows' first fronts,
+    as a row's front among some of the rows is never later than among all; what is left of all tasks
+    is ranked together, and the ranked rows are taken out before the next round.
     """
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"fronts are made of at most {most} candidates; filter or take the best first")
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        x = t[objectives].to_numpy(float)
-        rank = np.full(len(t), -1)
-        left = np.flatnonzero(np.isfinite(x).all(axis=1))
-        level = 0
-        while len(left):
-            best = front_mask(x[left])
-            rank[left[best]] = level
-            left, level = left[~best], level + 1
-        rank[rank < 0] = level
-        return pd.DataFrame({key: t[key], "front": rank.astype(np.int32)})
+    numbers = df.select(F.col(key), *(F.col(o).cast("double").alias(f"__o{i}") for i, o in enumerate(objectives))).withColumn("__row", F.monotonically_increasing_id())
+    table = cut(numbers)
+    names = [f"__o{i}" for i in range(len(objectives))]
+    good = F.lit(True)
+    for n in names:
+        good = good & F.coalesce(F.abs(n) < float("inf"), F.lit(False))
+    left, bad = cut(table.where(good)), table.where(~good)
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for b in batches:
+            kept = b if kept is None else pd.concat((kept, b))
+            kept = kept[_layers(kept[names].to_numpy(float), at_once) < at_once]
+        if kept is not None:
+            yield kept
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for kept in local(batches):
+            yield pd.DataFrame({key: kept[key], "front": _layers(kept[names].to_numpy(float), at_once).astype(np.int32), "__row": kept["__row"]})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *(F.col(o).cast("double").alias(o) for o in objectives), F.lit(1).alias("__all")).groupBy("__all").applyInPandas(run, f"{key} {kind}, front int")
+    found, level = [], 0
+    while True:
+        some = cut(left.mapInPandas(local, left.schema).repartition(1).mapInPandas(merged, f"`{key}` {kind}, front int, __row long"))
+        top = some.agg(F.max("front")).first()[0]
+        if top is None:
+            break
+        found.append(some.select(key, (F.col("front") + level).cast("int").alias("front")))
+        level += top + 1
+        left = cut(left.join(some.select("__row"), "__row", "left_anti").select(*left.columns))
+    out = bad.select(key, F.lit(level).cast("int").alias("front"))
+    for f in found:
+        out = out.unionAll(f)
+    return out
 
 
 def crowding(df: DataFrame, objectives: list[str], front: str, tie: str) -> DataFrame:
@@ -125,25 +168,37 @@ def rank_score(df: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(best)).withColumn("rank_score", F.col("__raw") / F.col("__best")).drop("__top", "__raw", "__best")  # one row
 
 
-def _pool(df: DataFrame, score: str, key: str, vector: str, pool: int) -> pd.DataFrame:
-    """The best ``pool`` rows: the bounded set that greedy selection works on."""
-    return df.select(key, F.col(score).cast("double").alias("score"), vector).orderBy(F.desc("score"), key).limit(pool).toPandas()
-
-
-def select_diverse(df: DataFrame, score: str, key: str, vector: str, k: int, weight: float = 0.5, pool: int = 2000) -> DataFrame:
-    """k rows, each the best by score less ``weight`` times the highest cosine to those chosen, of the best ``pool``."""
-    t = _pool(df, score, key, vector, pool)
-    x = np.array(t[vector].tolist(), float).reshape(len(t), -1)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    near, base, chosen = np.zeros(len(t)), t.score.to_numpy(), []
-    free = np.ones(len(t), bool)
-    for _ in range(min(k, len(t))):
-        i = int(np.argmax(np.where(free, base - weight * near, -np.inf)))
-        chosen.append(i)
-        free[i] = False
-        near = np.maximum(near, x @ x[i])
-    rows = [(int(t[key].iloc[i]), at) for at, i in enumerate(chosen)]
-    return df.sparkSession.createDataFrame(rows, f"{key} long, pick int")
+def select_diverse(df: DataFrame, score: str, key: str, vector: str, k: int, weight: float = 0.5) -> DataFrame:
+    """k rows, each the best of all by score less ``weight`` times the highest cosine to those chosen; ties to the higher score, then the smaller key.
+
+    k rounds, in each of which every task offers its best row.
+    """
+    table = df.select(F.col(key).alias("key"), F.col(score).cast("double").alias("score"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
+    chosen: list = []
+    points: list = []
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = []
+        for t in batches:
+            t = t[~t.key.isin(chosen)]
+            if len(t):
+                x = np.array(t.v.tolist(), float).reshape(len(t), -1)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                near = np.maximum((x @ np.array(points).T).max(axis=1), 0.0) if points else 0.0
+                t = t.assign(value=t.score - weight * near, v=list(x))
+                kept.append(t.sort_values(["value", "score", "key"], ascending=[False, False, True]).head(1))
+        if kept:
+            yield pd.concat(kept)[["key", "score", "v", "value"]]
+
+    kind = df.schema[key].dataType.simpleString()
+    for _ in range(k):
+        offered = table.mapInPandas(best, f"key {kind}, score double, v array<double>, value double")
+        got = offered.orderBy(F.desc("value"), F.desc("score"), "key").limit(1).collect()
+        if not got:
+            break
+        chosen.append(got[0].key)
+        points.append(list(got[0].v))
+    return df.sparkSession.createDataFrame([(int(c), i) for i, c in enumerate(chosen)], f"{key} long, pick int")
 
 
 def k_center(df: DataFrame, key: str, vector: str, k: int, first: int | None = None) -> DataFrame:
