@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrolith.llm._common import components, cut
@@ -165,13 +165,21 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     return made.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(documents: DataFrame, **how) -> DataFrame:
-    """One row of each component, all columns: that of the smallest doc_id, and of equal ids one.
+def row_hash() -> Column:
+    """A hash of a row's id and text."""
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
 
-    Where a component has no id at all, one row of each of its texts stays.
-    """
-    kept = near_duplicates(documents, **how).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    found = documents.join(kept, F.expr("doc_id <=> kept_id"), "left_semi")
-    each = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    marked = found.withColumn("__row", F.row_number().over(each)).withColumn("__before", F.lag("text").over(each))
-    return marked.where("__row = 1 or (doc_id is null and not (text <=> __before))").select(*documents.columns)
+
+def first_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of each ``root`` of ``found`` (doc_id, row, root), all columns: that of the smallest doc_id, null ids last."""
+    pick = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("p"))
+    kept = pick.select(F.col("p.row").alias("__row"), F.col("p.doc_id").alias("__id"))
+    marked = documents.withColumn("__row", row_hash())
+    return marked.join(kept, (marked["__row"] == kept["__row"]) & marked["doc_id"].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["__row"]).select(*documents.columns)
+
+
+def keep_one(documents: DataFrame, **how) -> DataFrame:
+    """One row of each component, all columns: that of the smallest doc_id, null ids last."""
+    ids = documents.select(F.struct("doc_id", row_hash().alias("row")).alias("doc_id"), "text")
+    found = near_duplicates(ids, **how)
+    return first_of_each(documents, found.select("doc_id.doc_id", "doc_id.row", F.col("component_id").alias("root")))

@@ -1,6 +1,6 @@
 import random
 
-from ferrolith.llm import near
+from ferrolith.llm import near, simhash
 
 
 def jaccard(a, b):
@@ -46,3 +46,11 @@ def test_a_row_of_each_text_of_an_id_and_null_ids_stay(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     docs = spark.createDataFrame([(5, a), (5, b), (3, b), (None, c), (None, c), (7, a.replace("a0 ", "z "))], "doc_id long, text string")
     assert sorted(map(repr, map(tuple, near.keep_one(docs).collect()))) == sorted(map(repr, [(5, a), (3, b), (None, c)]))
+
+
+def test_simhash_keeps_a_row_of_each_component(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(5, a), (5, b), (3, b), (3, b)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [(3, b), (5, a)]
+    docs = spark.createDataFrame([(5, a), (5, b)], "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == 2
