@@ -5,23 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrolith.operators.pareto import cut
 
-def paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, most_steps: int = 4, labels_per_node: int = 16) -> DataFrame:
-    """(entity, path, delta_g, activation, steps): simple paths from a start to a goal, the best ``labels_per_node`` a node.
+
+def paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, most_steps: int = 4) -> DataFrame:
+    """(entity, path, delta_g, activation, steps): the non-dominated simple paths from a start to a goal.
 
     edges: (entity, src, dst, delta_g, activation); starts and goals: (entity, node). Each round joins
-    the frontier to the edges and keeps, for every node, the labels of least barrier and cost.
+    the frontier to the edges. A path is dropped only where another path to its node, of no more steps,
+    is nowhere worse in activation and delta_g and somewhere better, and visits none but the path's own
+    nodes, so that it can go on wherever the path can; of equal costs all stay. What reaches a goal is
+    then pruned by the costs alone.
     """
     frontier = starts.select("entity", F.col("node").alias("at"), F.array("node").alias("path"), F.lit(0.0).alias("delta_g"), F.lit(0.0).alias("activation"))
     found = None
     for _ in range(most_steps):
         step = frontier.join(edges.withColumnsRenamed({"delta_g": "dg", "activation": "ea"}), (frontier["entity"] == edges["entity"]) & (F.col("at") == F.col("src"))).where(~F.array_contains("path", F.col("dst")))
         step = step.select(frontier["entity"], F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), (F.col("delta_g") + F.col("dg")).alias("delta_g"), (F.col("activation") + F.col("ea")).alias("activation"))
-        best = Window.partitionBy("entity", "at").orderBy("activation", "delta_g", F.array_join("path", ">"))
-        frontier = step.withColumn("__k", F.row_number().over(best)).where(F.col("__k") <= labels_per_node).drop("__k")
+        step = cut(step)
+        frontier = cut(_undominated(step, within=True))
         done = frontier.join(goals.select("entity", F.col("node").alias("at")), ["entity", "at"], "left_semi")
         found = done if found is None else found.unionByName(done)
-    return found.select("entity", "path", "delta_g", "activation", (F.size("path") - 1).alias("steps"))
+    return _undominated(found, within=False).select("entity", "path", "delta_g", "activation", (F.size("path") - 1).alias("steps"))
+
+
+def _undominated(labels: DataFrame, within: bool) -> DataFrame:
+    """The labels that no other of their entity and node dominates in activation, delta_g and steps; ``within``: none that visits their own nodes alone."""
+    other = labels.select(F.col("entity").alias("__e"), F.col("at").alias("__at"), F.col("path").alias("__p"), F.col("delta_g").alias("__dg"), F.col("activation").alias("__ea"))
+    steps, its = F.size("path"), F.size("__p")
+    worse = (F.col("entity") == F.col("__e")) & (F.col("at") == F.col("__at")) & (F.col("__ea") <= F.col("activation")) & (F.col("__dg") <= F.col("delta_g")) & (its <= steps)
+    worse = worse & ((F.col("__ea") < F.col("activation")) | (F.col("__dg") < F.col("delta_g")) | (its < steps))
+    if within:
+        worse = worse & (F.size(F.array_except("__p", "path")) == 0)
+    return labels.join(other, worse, "left_anti")
 
 
 def feasible(found: DataFrame, most_activation: float = 3.0, most_delta_g: float = 1.0, most_steps: int = 4) -> DataFrame:

@@ -1,6 +1,6 @@
 import numpy as np
 
-from ferrolith.operators import pareto
+from ferrolith.operators import pareto, pathways
 
 
 def test_fronts_rank_every_row(spark):
@@ -20,3 +20,12 @@ def test_diverse_rows_come_from_the_whole_table(spark):
     rows = [(i, 1.0, [1.0, 0.0]) for i in range(2500)] + [(2500, 0.9, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "id long, s double, v array<double>")
     assert [r.id for r in pareto.select_diverse(df, "s", "id", "v", 3).orderBy("pick").collect()] == [0, 2500, 1]
+
+
+def test_paths_keep_all_that_none_dominates(spark):
+    edges = [("e", "s", f"m{i:02}", 20.0 - i, 1.0 + i) for i in range(20)] + [("e", f"m{i:02}", "g", 0.0, 0.0) for i in range(20)]
+    edges += [("e", "s", "bad", 30.0, 40.0), ("e", "bad", "g", 0.0, 0.0)]
+    edges = spark.createDataFrame(edges, "entity string, src string, dst string, delta_g double, activation double")
+    start, goal = (spark.createDataFrame([("e", n)], "entity string, node string") for n in "sg")
+    got = pathways.paths(edges, start, goal, most_steps=2).collect()
+    assert sorted(r.path[1] for r in got) == [f"m{i:02}" for i in range(20)]
