@@ -65,7 +65,7 @@ def pareto_front(df: DataFrame, objectives: list[str]) -> DataFrame:
         if kept is not None:
             yield kept
 
-    return finite.mapInPandas(local, df.schema).coalesce(1).mapInPandas(local, df.schema)
+    return finite.mapInPandas(local, df.schema).repartition(1).mapInPandas(local, df.schema)  # a shuffle: coalesce would run the first step in one task too
 
 
 def _layers(x: np.ndarray, most: int) -> np.ndarray:

@@ -29,3 +29,10 @@ def test_paths_keep_all_that_none_dominates(spark):
     start, goal = (spark.createDataFrame([("e", n)], "entity string, node string") for n in "sg")
     got = pathways.paths(edges, start, goal, most_steps=2).collect()
     assert sorted(r.path[1] for r in got) == [f"m{i:02}" for i in range(20)]
+
+
+def test_local_fronts_run_in_all_tasks(spark):
+    df = spark.range(100, numPartitions=4).selectExpr("id", "cast(id as double) a", "cast(-id as double) b")
+    plan = pareto.pareto_front(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce 1" not in plan and "Exchange" in plan
+    assert pareto.pareto_front(df, ["a", "b"]).count() == 100
