@@ -108,22 +108,124 @@ def test_lm(spark, kept):
         assert r.score < 0 and r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / max(r.n_bytes, 1))
 
 
-def test_lm_beats_base_on_held_out(spark):
+def test_lm_beats_a_unigram_that_spells_unseen_tokens(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    train = Counter(t for d, text in docs if brute.rem(d, 10) for t in brute.tokens(text, lower=True))
     got = queries.op7_lm(spark, SF).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
-    assert got[1] > got[0]
+    unseen = sum(len(t.encode()) + 1 for d, text in docs if not brute.rem(d, 10) for t in brute.tokens(text, lower=True) if t not in train)
+    assert got[1] > got[0] - unseen * math.log10(27)
+
+
+def test_lm_is_the_same_however_its_input_is_parted(spark):
+    docs = spark.read.parquet(f"{brute.SF}/documents.parquet")
+    a, b = ({r.doc_id: r.score for r in lm.score(docs.repartition(n, F.rand(n)), LESS).collect()} for n in (4, 16))
+    assert a == pytest.approx(b, rel=1e-9)
+
+
+LESS = (1 << 12, 1 << 13, 1 << 13, 1 << 14, 1 << 14)
+M = (1 << 64) - 1
+
+
+def places(token, d, node):
+    """The slots of one bit, number by number: ``d`` bytes of the token are known."""
+    out, context, offset = [], 0, 0
+    prefix = sum((b + 1) * pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j, b in enumerate(token[:d])) & M
+    for k in range(1, lm.ORDERS + 1):
+        context = (context * 257 + (token[d - k] + 1 if d >= k else 0)) & M
+        h = ((prefix ^ (d << 56) if k == lm.ORDERS else context) + k) * 0xD6E8FEB86659FD93 & M
+        h = (h + node * 0xA0761D6478BD642F) & M
+        h = (h ^ (h >> 32)) * 0xE7037ED1A0B428DB & M
+        out.append(offset + ((h >> 32) & (LESS[k - 1] - 1)))
+        offset += LESS[k - 1]
+    return out
+
+
+def openings(text):
+    """(place of the first byte, place of the second or None) of each token, byte by byte."""
+    said, at = "  ".encode() + b" ".join(lm.tokens_of((text or "").encode())) + b" ", 2
+    for token in lm.tokens_of((text or "").encode()):
+        far = next((1 + b % (lm.FAR - 1) for b in reversed(said[:at]) if b > 127), 0)
+        coarse = far * (lm.COARSE // lm.FAR) + said[at - 2] * 7 % (lm.COARSE // lm.FAR)
+        if at == 2:
+            last, second = 32, 32
+            coarse = 32 * 7 % (lm.COARSE // lm.FAR)
+        else:
+            last, second = said[at - 2], said[at - 3]
+        fine = coarse * (lm.PREVIOUS // lm.COARSE) + (last * 3 + second * 37) % (lm.PREVIOUS // lm.COARSE)
+        yield fine * 256 + said[at], (coarse * 256 + said[at]) * 256 + said[at + 1] if token else None
+        at += len(token) + 1
+
+
+def coded(token, model):
+    """log10 of a token's bytes from the third on, bit by bit."""
+    total, token = 0.0, token + b" "
+    for d in range(2, len(token)):
+        node = 1
+        for k in range(8):
+            pairs = [(float(model.counts[s].real), float(model.counts[s].imag)) for s in places(token, d, node)]
+            log_odds = [max(-9.0, min(9.0, math.log((b + lm.PRIOR) / (a + lm.PRIOR)))) for a, b in pairs]
+            known = next((i for i, (a, b) in enumerate(pairs) if a + b == 0), lm.ORDERS)
+            n = sum(pairs[-1])
+            level = lm.ORDERS - 1 + sum(n >= x for x in (1, *lm.SEEN)) if n else min(known, lm.ORDERS - 1)
+            gate = level * lm.PLACES + min(d - 2, lm.PLACES - 1)
+            dot = max(-12.0, min(12.0, sum(w * x for w, x in zip(model.mixer.weight[gate], log_odds, strict=True))))
+            step = gate * lm.STEPS + round((dot + 12) * (lm.STEPS - 1) / 24)
+            zeros, ones = model.mixer.came[:, step]
+            trust = 0.5 * (zeros + ones) / (zeros + ones + 50)
+            p = (1 - trust) / (1 + math.exp(-dot)) + trust * (ones + 0.02) / (zeros + ones + 0.04)
+            bit = token[d] >> (7 - k) & 1
+            total += math.log10(p if bit else 1 - p)
+            node = node * 2 + bit
+    return total
+
+
+def test_lm_against_brute_force(spark):
+    docs = spark.read.parquet(f"{brute.SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    train = [t for d, t in texts.items() if brute.rem(d, 10)]
+    gathered = lm._gathered(docs.repartition(3)).cache()
+    # what was gathered, counted again text by text
+    seen = Counter(p for t in train for pair in openings(t) for p in enumerate(pair, 1) if p[1] is not None)
+    assert {(r.kind, r.place): r.c for r in gathered.where("kind > 0").groupBy("kind", "place").agg(F.sum("c").alias("c")).collect()} == seen
+    tokens = Counter(w for t in train for w in lm.tokens_of((t or "").encode()))
+    types = lm.token_types(gathered)
+    assert {bytes(r.token): r.c for r in types.where("c > 0").collect()} == tokens
+    shared, weight, came = lm.train(types, LESS)
+    model = lm.Inside(lm._unpacked(shared), LESS)
+    model.mixer.weight, model.mixer.came = weight, came
+    counts = Counter()
+    for token, c in tokens.items():
+        said = token + b" "
+        for d in range(2, len(said)):
+            for k in range(8):
+                for s in places(said, d, (1 << k) | (said[d] >> (8 - k))):
+                    counts[s, said[d] >> (7 - k) & 1] += c
+    assert {(s, v): n for v, part in enumerate((model.counts.real, model.counts.imag)) for s, n in enumerate(part.tolist()) if n} == counts
+    begun = lm.opening(gathered)
+    assert (10.0 ** begun.first.astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-4) and (10.0 ** begun.second.astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-4)
+    got = {r.doc_id: r.score for r in lm.score(docs, LESS, kept=500).collect()}
+    memo = {}
+    for d in sorted(texts, key=lambda d: len(texts[d] or ""))[:120]:
+        want = 0.0
+        for w, (one, two) in zip(lm.tokens_of((texts[d] or "").encode()), openings(texts[d]), strict=True):
+            if w not in memo:
+                memo[w] = coded(w, model)
+            want += memo[w] + float(begun.first.ravel()[one]) + (float(begun.second[begun.row[two >> 8], two & 255]) if two is not None else 0)
+        assert got[d] == pytest.approx(want, rel=2e-3)
 
 
 def test_lm_is_a_distribution():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    slots = (256,) + (1024,) * (lm.ORDERS - 1)
-    mixer = lm.Mixer(*rng.integers(0, 9, (2, sum(slots))).astype(np.float32), slots)
-    mixer.learn([b"!ab", b"!abc", b"!b"] * 50, np.full(150, 2))
-    # the bits of a first byte are told by a tree, so that the ends and first bytes of all tokens share one
-    ends = 10.0 ** mixer.log10([b"!"])[0]
-    first = [10.0 ** mixer.log10([b"!" + bytes([x])])[0] for x in range(256) if x != 32]
-    assert 0 < ends < 1 and sum(first) + ends < 1
+    counts = rng.integers(0, 9, sum(LESS)) + 1j * rng.integers(0, 9, sum(LESS))
+    model = lm.Inside(counts.astype(np.complex64), LESS)
+    model.learn([b"ab", b"abc", b"b"] * 50, np.full(150, 2))
+    model.mixer.freeze()
+    # the third bytes of tokens that begin alike share one tree of bits
+    ends = 10.0 ** model.log10([b"ab"])[0]
+    third = sum(10.0 ** (model.log10([b"ab" + bytes([x])])[0]) for x in range(256) if x != 32)
+    assert 0 < ends < 1 and ends + third < 1
 
 
 def test_lm_odd(spark):
