@@ -77,6 +77,7 @@ def _openings(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # the space before a token is at start - 1; an empty token has a space of its own
     last, second = (flat[np.maximum(start - k, 0)] for k in (2, 3))
     new = np.concatenate(([True], first[:-1] == 32))  # a text's first token
+    second = np.where(new, 32, second)
     far = np.maximum.accumulate(np.where(flat > 127, np.arange(len(flat)), -1))[start - 1]
     far = np.where(far >= np.maximum.accumulate(np.where(new, start, 0)), 1 + flat[far] % (FAR - 1), 0)
     coarse = far * (COARSE // FAR) + last * 7 % (COARSE // FAR)
