@@ -87,6 +87,14 @@ def rows(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(n) for n in names))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many '_' appended as it takes not to be a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (node, root), root the least node.
 

@@ -58,7 +58,7 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.plan(_table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.array_join("shards", ",").alias("shards"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

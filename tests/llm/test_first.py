@@ -181,3 +181,23 @@ def test_mixing_tree(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 5).cast("string")).alias("source"))
     got = mixing.mix(docs, shards=8, blocks_per_source=64).groupBy("mix_shard").agg(F.count("*").alias("n"), F.sum((F.col("source") == "hot").cast("int")).alias("hot")).toPandas()
     assert len(got) == 8 and got.n.max() < 1.4 * got.n.mean() and got.hot.min() > 0
+
+
+def test_the_tree_decides_what_is_taken(spark):
+    n = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 7).cast("int"))).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 5).cast("string")).alias("source"))
+    # the same id and text in two sources, repeated rows, and columns that clash
+    docs = n.unionAll(n.where("doc_id < 50").withColumn("source", F.lit("other"))).unionAll(n.where("doc_id < 50")).withColumn("mix_shard", F.lit("own")).withColumn("shards", F.lit(1)).withColumn("block", F.lit(2))
+    plan = mixing.plan(docs, shards=8, blocks_per_source=64).collect()
+    draws = Counter(s for r in plan for s in r.shards)
+    assert set(draws) == set(range(8)) and all(r.copies == len(r.shards) <= 2 for r in plan)
+    # the draws of blocks are dealt evenly: a source's blocks have one size, so does a shard's share within a few blocks
+    assert max(draws.values()) < 1.4 * min(draws.values())
+    hot = Counter(s for r in plan if r.source == "hot" for s in r.shards)
+    assert len(hot) == 8
+    made = mixing.mix(docs, shards=8, blocks_per_source=64)
+    assert made.columns == [*docs.columns, "mix_shard_", "mix_order"]
+    got = Counter((r.doc_id, r.source, r.mix_shard_) for r in made.collect())
+    assert got == Counter((r.doc_id, r.source, s) for r in plan for s in r.shards)
+    assert {r.mix_shard for r in made.collect()} == {"own"}
+    spread = mixing.shuffled(docs, shards=8, blocks_per_source=64)
+    assert spread.columns == docs.columns and spread.count() == sum(draws.values())
