@@ -4,8 +4,9 @@ Every rolling pair of words of every document is joined to the places of that pa
 templates; a template longer than four words asks for four equal words at the place, so that pairs
 of common words don't vote. A match votes for the diagonal (document place minus template place).
 Votes are added by document, template and diagonal; diagonals that lie within ``gap`` words of each
-other and follow one another are merged (words put in or left out move the diagonal); what a span's
-votes cover of its template is verified against the template's least share. A phrase is a short
+other and follow one another are merged (words put in or left out move the diagonal), until the
+template begins again; how many different places of its template a span covers is verified against
+the least share. A phrase is a short
 template that must be covered whole, on one diagonal, word for word.
 
 Templates are a fixed, small table and are broadcast.
@@ -36,6 +37,19 @@ NOTICES = [
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by", "Licensed under CC BY 4.0"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", 'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement'),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("agpl", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("wtfpl", "Do what the fuck you want to public license"),
+    ("cc0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
 ]
 GRAM = 4
 GAP = 8
@@ -71,12 +85,13 @@ def scan(documents: DataFrame, phrases: list = PHRASES, notices: list = NOTICES,
     kept = cut(marks)
     key = ["doc_id", "text_hash", "n_words"]
     votes = kept.where("same").groupBy(*key, "template", "label", "base", "k", "n_grams", (F.col("at") - F.col("place")).alias("diagonal"))
-    votes = votes.agg(F.count_distinct("place").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"))
-    whole = votes.where("base and votes = n_grams").select(*key, "template", "label", "base", F.col("diagonal").alias("start"), (F.col("last") + F.col("k")).alias("end"), F.lit(1.0).alias("coverage"))
+    votes = votes.agg(F.array_sort(F.collect_set("place")).alias("places"), F.min("at").alias("first"), F.max("at").alias("last"))  # at most n_grams places
+    whole = votes.where("base and size(places) = n_grams").select(*key, "template", "label", "base", F.col("diagonal").alias("start"), (F.col("last") + F.col("k")).alias("end"), F.lit(1.0).alias("coverage"))
     run = Window.partitionBy(*key, "template").orderBy("first", "diagonal")
     near = votes.where("not base").withColumn("before", F.lag("last").over(run)).withColumn("moved", F.abs(F.col("diagonal") - F.lag("diagonal").over(run)))
-    near = near.withColumn("fresh", F.coalesce(((F.col("first") - F.col("before") > gap + F.col("k")) | (F.col("moved") > gap)).cast("int"), F.lit(1))).withColumn("group", F.sum("fresh").over(run))
-    merged = near.groupBy(*key, "template", "label", "base", "group").agg(F.min("first").alias("start"), (F.max("last") + F.first("k")).alias("end"), F.least(F.lit(1.0), F.sum("votes") / F.first("n_grams")).alias("coverage"))
+    near = near.withColumn("back", F.element_at("places", 1) <= F.lag(F.element_at("places", -1)).over(run) - F.col("k"))  # the template begins again
+    near = near.withColumn("fresh", F.coalesce(((F.col("first") - F.col("before") > gap + F.col("k")) | (F.col("moved") > gap) | F.col("back")).cast("int"), F.lit(1))).withColumn("group", F.sum("fresh").over(run))
+    merged = near.groupBy(*key, "template", "label", "base", "group").agg(F.min("first").alias("start"), (F.max("last") + F.first("k")).alias("end"), (F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first("n_grams")).alias("coverage"))
     return whole.unionByName(merged.where(F.col("coverage") >= least).drop("group")), kept
 
 
