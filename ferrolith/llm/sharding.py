@@ -5,8 +5,9 @@ of bytes, tokens or rows; then it is split by a hash of its rows. Groups of some
 64th of a shard in any of the three, so at most 3 * 64 * shards of them) are placed one by one; all
 others are bundled by a hash of their text into ``bundles`` bundles. The driver sees the vectors of
 these bounded units alone. Heaviest first, a unit goes where the dot product of its vector with the
-residual capacity is highest, among the shards whose residual of bytes is nearly the largest, so
-that the law ``bytes`` holds: sizes near equal.
+residual capacity is highest. Shards whose residual of bytes is far from the largest don't count: far
+is WIDE of the mean residual, so less and less, and NEAR at last, so that the law ``bytes`` holds
+(sizes near equal) while tokens and rows are balanced on the way.
 
 Slots count through a shard unit by unit, so that rows are numbered within units only.
 """
@@ -24,11 +25,11 @@ from ferrolith.llm._common import cut, n_space_words
 
 SHARDS = 16
 BUNDLES = 8192
-NEAR = 0.002
+WIDE, NEAR = 0.25, 0.002
 
 
-def place(vectors: np.ndarray, shards: int = SHARDS, near: float = NEAR) -> np.ndarray:
-    """The shard of each row of ``vectors`` (bytes, tokens, rows), heaviest first."""
+def place(vectors: np.ndarray, shards: int = SHARDS, wide: float = WIDE, near: float = NEAR) -> np.ndarray:
+    """The shard of each row of ``vectors`` (bytes, tokens, rows), heaviest first; no rows give none."""
     total = np.maximum(vectors.sum(axis=0), 1)
     share = vectors * shards / total
     left = np.ones((shards, vectors.shape[1]))
@@ -36,7 +37,7 @@ def place(vectors: np.ndarray, shards: int = SHARDS, near: float = NEAR) -> np.n
     for i in np.lexsort((np.arange(len(vectors)), -share.max(axis=1))):
         v = share[i]
         room = left[:, 0]
-        fit = room >= room.max() - near
+        fit = room >= room.max() - max(near, wide * room.mean())
         out[i] = int(np.argmax(np.where(fit, left @ v, -np.inf)))
         left[out[i]] -= v
     return out
