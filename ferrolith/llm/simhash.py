@@ -6,9 +6,9 @@ blocks of bits, so nodes meet only in the groups of those that agree on such blo
 sorted by population count and cut into tiles, and numpy compares tile against tile by exclusive or
 and bit counts, skipping tiles whose counts lie beyond the radius. What a group returns is a
 spanning star of each of its components: no link between different texts is lost, none is repeated.
-A group of over ``most_tiled`` nodes is not gathered in a task: its nodes are dealt by themselves
-and by all their one-bit neighbours (two nodes share such a key just when they are within two bits),
-and a plain minimum per key links them.
+A group of over ``most_tiled`` nodes is not gathered in a task: it is cut into cells of equal population
+count, those over ``most_tiled`` nodes by a hash, and each pair of cells whose counts lie within the
+radius is a group of its own.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.llm._common import components, cut
+from ferrolith.llm._common import components, cut, sized
 
 SEED = 42
 SHINGLE = 3
@@ -113,8 +113,8 @@ def _links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np
 
 def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, most_tiled: int = MOST_TILED) -> DataFrame:
     """(a, b) links between distinct ``fp``, enough to span each component of those within ``radius`` bits."""
-    if BITS % blocks or not 0 < radius <= min(2, blocks - 1):
-        raise ValueError("blocks must divide 64, and radius be 1 or 2 and under blocks")
+    if BITS % blocks or not 0 < radius < blocks:
+        raise ValueError("blocks must divide 64, and radius be under blocks")
     width = BITS // blocks
     masks = [sum(((1 << width) - 1) << (width * i) for i in kept) for kept in combinations(range(blocks), blocks - radius)]
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
@@ -137,15 +137,15 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, most_til
             x, y = _links(key, fp, radius)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-    tiled = small.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
-    flips = [F.col("fp").bitwiseXOR(F.lit(v - (1 << BITS) if v >> 63 else v).cast("long")) for v in (1 << i for i in range(BITS))]
-    spread = large.select("fp").distinct().select("fp", F.explode(F.array("fp", *(flips if radius == 2 else []))).alias("near"))
-    if radius == 1:
-        spread = large.select("fp").distinct().select("fp", F.explode(F.array("fp", *flips)).alias("near"))
-        own = large.select(F.col("fp").alias("near")).distinct()
-        return tiled.unionAll(spread.join(own, "near").where("fp <> near").select(F.col("fp").alias("a"), F.col("near").alias("b")))
-    least = spread.groupBy("near").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("near", "b")
-    return tiled.unionAll(spread.join(least, "near").where("fp <> b").select(F.col("fp").alias("a"), "b"))
+    # large groups: pairs of cells instead
+    of_pop = large.withColumn("pop", F.bit_count("fp"))
+    cells = cut(of_pop.groupBy("key", "pop").agg(F.ceil(F.count("*") / most_tiled).cast("int").alias("cells")))  # at most 65 rows a large group
+    placed = of_pop.join(sized(cells), ["key", "pop"]).withColumn("cell", F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.col("cells")).cast("int"))
+    other = sized(cells.select("key", F.col("pop").alias("other_pop"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other_cell")))
+    own, their = F.struct("pop", "cell"), F.struct(F.col("other_pop").alias("pop"), F.col("other_cell").alias("cell"))
+    paired = placed.join(other, "key").where(F.abs(F.col("pop") - F.col("other_pop")) <= radius)
+    paired = paired.select(F.xxhash64("key", F.least(own, their), F.greatest(own, their)).alias("key"), "fp")
+    return small.select("key", "fp").unionAll(paired).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, blocks: int = BLOCKS, most_tiled: int = MOST_TILED) -> DataFrame:
@@ -171,11 +171,16 @@ def row_hash() -> Column:
 
 
 def first_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """One row of each ``root`` of ``found`` (doc_id, row, root), all columns: that of the smallest doc_id, null ids last."""
+    """One row of each ``root`` of ``found`` (doc_id, row, root), all columns: that of the smallest doc_id, null ids last.
+
+    Columns of any name stay.
+    """
     pick = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("p"))
-    kept = pick.select(F.col("p.row").alias("__row"), F.col("p.doc_id").alias("__id"))
-    marked = documents.withColumn("__row", row_hash())
-    return marked.join(kept, (marked["__row"] == kept["__row"]) & marked["doc_id"].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["__row"]).select(*documents.columns)
+    kept = cut(pick.select(F.col("p.row").alias("hash"), F.col("p.doc_id").alias("id")))
+    marked = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("all"), row_hash().alias("hash_of"))
+    met = marked.join(kept, (F.col("hash_of") == F.col("hash")) & F.col("all.doc_id").eqNullSafe(F.col("id")), "left_semi")
+    # of rows that repeat id and text, any one stays
+    return met.dropDuplicates(["hash_of"]).select("all.*")
 
 
 def keep_one(documents: DataFrame, **how) -> DataFrame:
