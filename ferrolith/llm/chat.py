@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprints. DataFrame functions only.
 
-A record's nested field paths, those that any known layout uses, are sorted and hashed; the hash
-selects a declarative mapping, which turns the record into canonical turns (conv_id, turn, role,
-text). Tables are told by their schema, JSON records row by row. Turns are then formatted as
+A record's nested field paths, those that a layout asks for, are sorted and hashed; where the hash is
+the layout's, its declarative mapping turns the record into canonical turns (conv_id, turn, role,
+text); of several the one of most paths counts, so that other fields don't matter. Tables are told by
+their schema, JSON records row by row. Turns are then formatted as
 
     <|im_start|>role\\ntext<|im_end|>\\n
 
@@ -36,11 +37,12 @@ _RECORD = "messages array<struct<role:string,content:string>>, conversations arr
 
 
 def fingerprint(paths) -> str:
-    """The hash of the known paths among ``paths``."""
-    return hashlib.sha256("|".join(sorted(set(paths) & set(_PATHS))).encode()).hexdigest()
+    """The hash of a set of field paths."""
+    return hashlib.sha256("|".join(sorted(set(paths))).encode()).hexdigest()
 
 
-_BY_PRINT = {fingerprint(paths): name for name, (paths, _) in LAYOUTS.items()}
+#: Fingerprint, paths and name of each layout, those of more paths first.
+_PRINTS = sorted(((fingerprint(paths), paths, name) for name, (paths, _) in LAYOUTS.items()), key=lambda x: -len(x[1]))
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -53,11 +55,12 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
 
 
 def layout_of(df: DataFrame) -> str:
-    """The layout of a table, by the fingerprint of its schema; fields that no layout knows don't count."""
-    name = _BY_PRINT.get(fingerprint(schema_paths(df.schema)))
-    if name is None:
-        raise ValueError(f"no layout has the fields {schema_paths(df.schema)}")
-    return name
+    """The layout of a table: the one of most paths whose fingerprint is that of the schema's part it asks for."""
+    have = set(schema_paths(df.schema))
+    for mark, paths, name in _PRINTS:
+        if fingerprint(have & set(paths)) == mark:
+            return name
+    raise ValueError(f"no layout has the fields {sorted(have)}")
 
 
 def _rows(df: DataFrame, turns: Column) -> DataFrame:
@@ -65,27 +68,46 @@ def _rows(df: DataFrame, turns: Column) -> DataFrame:
 
 
 def canonical(df: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) rows of a table of any known layout with a ``conv_id``."""
+    """(conv_id, turn, role, text) rows of a table of any known layout with a ``conv_id``; other columns don't matter."""
     turns = LAYOUTS[layout_of(df)][1]
     return df.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text") if turns is None else _rows(df, F.expr(turns).cast(TURN))
 
 
-def canonical_json(df: DataFrame, column: str) -> DataFrame:
-    """(conv_id, turn, role, text) rows of JSON records, each of a layout of its own.
+def told_json(df: DataFrame, column: str) -> DataFrame:
+    """(conv_id, record, layout, turns) of every JSON record, each of a layout of its own.
 
-    Records that are no object, or whose fingerprint no mapping has, have no turns.
+    The layout is the one of most paths whose fingerprint is that of the record's part it asks for, all
+    elements of its arrays counted; an empty array has whatever its elements should have. Records that are
+    no object, or that no layout fits, are kept with a null layout and null turns.
     """
-    top = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
-    nested = lambda path: F.coalesce(F.json_object_keys(F.get_json_object(F.col(column), path)), F.array().cast("array<string>"))
-    under = lambda p: F.transform(nested(f"$.{p}[0]"), lambda x: F.concat(F.lit(f"{p}."), x))
-    inner = [under("messages"), under("conversations")]
-    known = F.array_sort(F.array_intersect(F.concat(top, *inner), F.array(*map(F.lit, _PATHS))))
-    told = df.select("conv_id", F.from_json(column, _RECORD).alias("r"), F.sha2(F.array_join(known, "|"), 256).alias("print")).select("conv_id", "print", "r.*")
-    turns = F.lit(None).cast(TURN)
-    for key, name in _BY_PRINT.items():
-        if (mapping := LAYOUTS[name][1]) is not None:
-            turns = F.when(F.col("print") == key, F.expr(mapping).cast(TURN)).otherwise(turns)
-    return _rows(told.withColumn("turns", turns), F.col("turns"))
+    none = F.array().cast("array<string>")
+    top = F.coalesce(F.json_object_keys(column), none)
+
+    def under(p: str) -> Column:
+        asked = F.array(*(F.lit(x) for x in _PATHS if x.startswith(f"{p}.")))
+        inside = F.get_json_object(F.col(column), f"$.{p}")
+        keys = F.flatten(F.transform(F.from_json(inside, "array<map<string,string>>"), lambda m: F.coalesce(F.map_keys(m), none)))
+        return F.when(F.json_array_length(inside) == 0, asked).otherwise(F.coalesce(F.transform(keys, lambda x: F.concat(F.lit(f"{p}."), x)), none))
+
+    have = F.concat(top, under("messages"), under("conversations"))
+    told = df.select("conv_id", F.col(column).alias("record"), F.from_json(column, _RECORD).alias("r"), F.array_distinct(have).alias("have"))
+    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN)
+    for mark, paths, layout in reversed(_PRINTS):
+        if (mapping := LAYOUTS[layout][1]) is not None:
+            fits = F.sha2(F.array_join(F.array_sort(F.array_intersect("have", F.array(*map(F.lit, paths)))), "|"), 256) == mark
+            name, turns = F.when(fits, layout).otherwise(name), F.when(fits, F.expr(mapping).cast(TURN)).otherwise(turns)
+    found = told.select("conv_id", "record", name.alias("layout"), "have", "r.*")
+    return found.select("conv_id", "record", "layout", turns.alias("turns"))
+
+
+def canonical_json(df: DataFrame, column: str) -> DataFrame:
+    """(conv_id, turn, role, text) rows of the JSON records that some layout fits; ``unread`` has the others."""
+    return _rows(told_json(df, column), F.col("turns"))
+
+
+def unread(df: DataFrame, column: str) -> DataFrame:
+    """(conv_id, record) of the JSON records that no layout fits, whole, to be counted and kept."""
+    return told_json(df, column).where("layout is null").select("conv_id", "record")
 
 
 def escape(text: Column, role: bool = False) -> Column:

@@ -44,6 +44,9 @@ def test_licenses_odd(spark):
     by = {r.doc_id: r for r in got}
     assert by[21].labels == "bsd" and by[21].spans[0].start == 2 and by[21].spans[0].end == 2 + len(brute.words(" ".join(notice))) + 3
     assert by[22].labels == by[23].labels == "" and by[20].score == 1
+    half = "this source code form is subject to the "
+    twice = spark.createDataFrame([(1, half * 2), (2, half + "terms of the " + half + "terms"), (3, half + "terms of the Mozilla Public License, v. 2.0")], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.report(twice).collect()} == {1: "", 2: "", 3: "mpl"}
     assert licenses.report(docs.limit(0)).count() == 0
 
 
@@ -326,3 +329,11 @@ def test_layouts(spark):
     df = spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")
     got = sorted(map(tuple, chat.canonical_json(df, "record").collect()))
     assert got == [x for i in range(4) for x in ((i, 0, "user", "q"), (i, 1, "assistant", "a"))]
+    assert [r.record for r in chat.unread(df, "record").orderBy("conv_id").collect()] == ["[]", "no", None, '{"other":1}']
+    # more fields than asked for, empty arrays, later elements with other keys, a column of another layout
+    records = ['{"messages":[]}', '{"prompt":"q","completion":"a","input":"i"}', '{"messages":[{"role":"user"},{"role":"assistant","content":"a"}],"prompt":"p"}', '{"instruction":"q","input":"i","output":"a"}']
+    more = spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")
+    assert [r.layout for r in chat.told_json(more, "record").orderBy("conv_id").collect()] == ["messages", "prompt and completion", "messages", "instruction and input"]
+    assert sorted(map(tuple, chat.canonical_json(more, "record").collect())) == [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", None), (2, 1, "assistant", "a"), (3, 0, "user", "q\n\ni"), (3, 1, "assistant", "a")]
+    turns = spark.createDataFrame([(1, 0, "user", "q", "p")], "conv_id long, turn long, role string, text string, prompt string")
+    assert [tuple(r) for r in chat.canonical(turns).collect()] == [(1, 0, "user", "q")]
