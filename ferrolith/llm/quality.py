@@ -8,7 +8,8 @@ scores that parts the labels best, and what a text is given is the logistic func
 distance from the cut.
 
 Fitting uses at most ``most_labelled`` labelled rows (drawn by a hash of their ids; only their
-features, not their texts, reach the driver) and ``pairs`` pairs of them. Scoring covers all rows.
+features, not their texts, reach the driver); each row of the more frequent label is in PARTNERS pairs.
+Scoring covers all rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ferrolith.llm._common import remainder
 
 MOST_LABELLED = 12_000
-PAIRS = 24_000
+PARTNERS = 3
 BINS = 8
 RIDGE = 1.0
 #: Byte classes whose shares are features.
@@ -89,18 +90,20 @@ class Model:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
-    """(doc_id, f, y) of at most ``most_labelled`` labelled documents whose id's remainder by 3 is not 1.
+    """(doc_id, f, y) of at most ``most_labelled`` labelled documents whose id's remainder by 3 is not 1, by id.
 
-    Of contradicting labels of an id the more frequent counts, 1 if they are even; null labels and ids don't.
+    Of contradicting labels of an id the more frequent counts, 1 if they are even; null labels and ids
+    don't. Of texts that share an id the one of the least hash counts.
     """
     known = labels.where("doc_id is not null and quality is not null").where(remainder(F.col("doc_id"), 3) != 1)
     known = known.groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("y"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).withColumnRenamed("doc_id", "labelled_id")
     texts = documents.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id"))  # at most most_labelled rows of two numbers
-    return featured(texts.select("doc_id", "text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "f", "y")
+    one = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return featured(one).join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "f", "y").orderBy("doc_id")
 
 
-def fit_rows(f: np.ndarray, y: np.ndarray, pairs: int = PAIRS, bins: int = BINS, ridge: float = RIDGE, seed: int = 7) -> Model:
+def fit_rows(f: np.ndarray, y: np.ndarray, bins: int = BINS, ridge: float = RIDGE, seed: int = 7) -> Model:
     """Bradley-Terry on feature differences by Newton steps; rows in any fixed order."""
     width = len(NAMES)
     if not len(y):
@@ -115,7 +118,8 @@ def fit_rows(f: np.ndarray, y: np.ndarray, pairs: int = PAIRS, bins: int = BINS,
         model.cut = -1.0 if len(good) else 1.0
         return model
     rng = np.random.default_rng(seed)
-    each = min(pairs, 40 * len(good) * len(bad))
+    # every row is in pairs: the more frequent label's rows meet PARTNERS of the other's each
+    each = PARTNERS * max(len(good), len(bad))
     d = x[np.resize(rng.permutation(good), each)] - x[rng.permutation(np.resize(rng.permutation(bad), each))]
     for _ in range(12):
         p = 1 / (1 + np.exp(np.clip(d @ model.weight, -30, 30)))  # the chance that the worse one wins
@@ -136,7 +140,7 @@ def fit_rows(f: np.ndarray, y: np.ndarray, pairs: int = PAIRS, bins: int = BINS,
 
 def fit(documents: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, **how) -> Model:
     """The model from the labelled documents; without labels every text scores 0.5."""
-    got = training_rows(documents, labels, most_labelled).toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    got = training_rows(documents, labels, most_labelled).toPandas()
     f = np.array(got["f"].tolist(), float).reshape(-1, len(NAMES))
     return fit_rows(f, got["y"].to_numpy(int), **how)
 
@@ -155,7 +159,11 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows, all their columns, whose text is predicted good."""
+    """The rows, all their columns, whose text is predicted good.
+
+    Null texts are scored as empty ones; repeated rows share one fate; an empty table stays empty; without
+    labels every text scores 0.5 and stays.
+    """
     model = fit(documents, labels, **how)
     kinds = documents.schema
 
