@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrolith.llm._common import NOT_WORD, cut, with_words
+from ferrolith.llm._common import NOT_WORD, cut, with_words, sized
 
 WINDOW = 10
 SHINGLE = 5
@@ -127,6 +127,11 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents, all their columns, in which no benchmark window occurs."""
-    found = find(documents, benchmark, **how)[0].select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    return documents.join(found, F.expr("doc_id <=> bad_id") & (F.xxhash64("text") == F.col("bad_hash")), "left_anti")
+    """The documents, all their columns, in which no benchmark window occurs.
+
+    Null texts and null ids are rows like others, and columns of any name stay.
+    """
+    found = cut(find(documents, benchmark, **how)[0].select("doc_id", "text_hash").distinct())
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("row.text")) == F.col("text_hash"))
+    return rows.join(sized(found), same, "left_anti").select("row.*")
