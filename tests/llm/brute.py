@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import xxhash
 
@@ -87,3 +87,30 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
         for s in free:
             t[s] += excess * w[s] / sum(w[x] for x in free)
     return t
+
+
+def near_copies(docs):
+    """The least id of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets, of = [], defaultdict(list)
+    for i, (_, text) in enumerate(docs):
+        w = tokens(text, lower=True)
+        sets.append({" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+        for s in sets[-1] or {None}:
+            of[s].append(i)
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, mine in enumerate(sets):
+        shared = Counter(j for s in mine or {None} for j in of[s] if j < i)
+        for j, n in shared.items():
+            n = n if mine else 0
+            if not mine or n >= 0.8 * (len(mine) + len(sets[j]) - n) - 1e-9:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return least.values()
