@@ -42,6 +42,19 @@ def test_near_copies_of_similarity_08_are_one(spark):
     assert near.keep_one(docs.limit(0)).count() == 0
 
 
+def test_a_large_group_of_near_copies_is_one(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for _ in range(300):  # up to four words changed: many pairs of copies are below 0.8, all are near the base
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(150)] = f"x{rng.randrange(5000)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert near.keep_one(docs).count() == len(set(groups(texts)))
+
+
 def test_a_row_of_each_text_of_an_id_and_null_ids_stay(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     docs = spark.createDataFrame([(5, a), (5, b), (3, b), (None, c), (None, c), (7, a.replace("a0 ", "z "))], "doc_id long, text string")
