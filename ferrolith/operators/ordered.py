@@ -40,15 +40,24 @@ def with_next(df: DataFrame, keys: list[str], order: str, name: str, buckets: in
     return placed.join(after, [*keys, "__bucket"]).withColumn(name, F.coalesce(inside, F.col("__next"))).drop("__bucket", "__next")
 
 
+def _tie(df: DataFrame, names: list[str]) -> Column:
+    """A hash of the columns that can be hashed: all but maps."""
+    return F.xxhash64(*(n for n in names if "map<" not in df.schema[n].dataType.simpleString()))
+
+
 def keep_last(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
-    """The row of the largest ``sequence`` for each key; a mergeable aggregate, not a sort of each key."""
+    """The row of the largest ``sequence`` for each key; a mergeable aggregate, not a sort of each key.
+
+    Of equal sequences a hash of the row decides, so that reruns agree; a null sequence is the smallest.
+    """
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(sequence)).alias("__r")).select(*keys, *(F.col(f"__r.{c}").alias(c) for c in rest)).select(*df.columns)
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(sequence, _tie(df, rest))).alias("__r")).select(*keys, *(F.col(f"__r.{c}").alias(c) for c in rest)).select(*df.columns)
 
 
 def keep_first(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
+    """The row of the smallest ``sequence`` for each key; equal sequences as in ``keep_last``, a null one is the last choice."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(sequence)).alias("__r")).select(*keys, *(F.col(f"__r.{c}").alias(c) for c in rest)).select(*df.columns)
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(F.col(sequence).isNull(), sequence, _tie(df, rest))).alias("__r")).select(*keys, *(F.col(f"__r.{c}").alias(c) for c in rest)).select(*df.columns)
 
 
 def top_k(df: DataFrame, score: str, k: int, tie: str, descending: bool = True) -> DataFrame:

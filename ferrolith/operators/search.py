@@ -104,11 +104,11 @@ def adaptive_noise(df: DataFrame, energy: str, noise: float = 0.03, slope: float
     return clip(noise * (1 + slope * F.coalesce(z, F.lit(0.0))), 1e-8, 1.0)
 
 
-def stable(df: DataFrame, bound: float = 0.1, probability: float | None = None, noise: float = 0.03) -> DataFrame:
-    """Hard: ehull within the bound. With ``probability``: its chance is at least that, best first."""
+def stable(df: DataFrame, bound: float = 0.1, probability: float | None = None, noise: float = 0.03, tie: str = "jid") -> DataFrame:
+    """Hard: ehull within the bound. With ``probability``: its chance is at least that, best first, equal ones by ``tie``."""
     if probability is None:
         return df.where(F.col("ehull") <= bound)
-    return df.withColumn("stability_probability", stability_probability(F.col("ehull"), bound, noise)).where(F.col("stability_probability") >= probability)
+    return df.withColumn("stability_probability", stability_probability(F.col("ehull"), bound, noise)).where(F.col("stability_probability") >= probability).orderBy(F.desc("stability_probability"), tie)
 
 
 def topology_probability(spillage: Column, stability: Column, gap: Column, threshold: float = 0.5, temperature: float = 0.1, gap_center: float = 0.3, gap_scale: float = 0.2, weights: tuple = (0.70, 0.20, 0.10), calibration: float | None = None) -> Column:

@@ -499,10 +499,13 @@ def cluster_summary(spark, sf_dir):
     return got.select("label", "property", "n", r6(F.col("mean"), 5).alias("mean"), r6(F.col("std"), 5).alias("std"))
 
 
-@query(f"{WITH} SELECT sum(n)::BIGINT AS n, jaccard FROM (SELECT 1 AS n, 1.0::DOUBLE AS jaccard FROM (SELECT DISTINCT c_custkey % 3 FROM customer)) GROUP BY 2")
+@query("""WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 10 < 8 THEN 'train' WHEN c_custkey % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM customer),
+b AS (SELECT c_custkey AS k, CASE WHEN (c_custkey + 1) % 10 < 8 THEN 'train' WHEN (c_custkey + 1) % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM customer)
+SELECT split, round(count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) / count(*), 9) AS jaccard FROM a FULL JOIN b USING (k, split) GROUP BY split""")
 def split_jaccard(spark, sf_dir):
-    a = splits.iid_split(read(spark, sf_dir, "customer"), "c_custkey")
-    return splits.jaccard(a, a, "c_custkey").groupBy("jaccard").agg(F.count("*").alias("n"))
+    ids = read(spark, sf_dir, "customer").select("c_custkey")
+    part = lambda shift: ids.withColumn("split", F.when((F.col("c_custkey") + shift) % 10 < 8, "train").when((F.col("c_custkey") + shift) % 10 == 8, "val").otherwise("test"))
+    return splits.jaccard(part(0), part(1), "c_custkey").select("split", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query()
@@ -560,9 +563,9 @@ def multi_objective_screen(spark, sf_dir):
     return rounded(selection.screen(materials(spark, sf_dir), {"spillage": True, "ehull": False}, "jid", 30).select("jid", "screen_score"), "screen_score")
 
 
-@query("""WITH t AS (SELECT unnest(list_filter([CASE WHEN p_type LIKE '%STEEL%' THEN 'iron' END, CASE WHEN p_type LIKE '%BRASS%' OR p_type LIKE '%COPPER%' THEN 'copper' END, CASE WHEN p_type LIKE '%PLATED%' THEN 'plated' END], lambda x: x IS NOT NULL)) AS tag FROM part) SELECT tag, count(*) AS n FROM t GROUP BY 1""")
+@query("""WITH t AS (SELECT unnest(list_filter([CASE WHEN p_type LIKE '%MEDIUM%' THEN 'middle' END, CASE WHEN p_type LIKE '%STANDARD%' OR p_type LIKE '%LARGE%' THEN 'usual' END, CASE WHEN p_type LIKE '%SMALL%' OR p_type LIKE '%MEDIUM%' THEN 'modest' END], lambda x: x IS NOT NULL)) AS tag FROM part) SELECT tag, count(*) AS n FROM t GROUP BY 1""")
 def tag_counts(spark, sf_dir):
-    rules = {"iron": ["steel"], "copper": ["brass", "copper"], "plated": ["plated"]}
+    rules = {"middle": ["medium"], "usual": ["standard", "large"], "modest": ["small", "medium"]}
     return selection.tag_counts(read(spark, sf_dir, "part").select(selection.tag(F.col("p_type"), rules).alias("tags")))
 
 
