@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrolith.functions.numeric import finite, normal_cdf, normal_pdf
-from ferrolith.operators.ordered import average_ranks, cumulative
+from ferrolith.operators.ordered import average_ranks, cumulative, cut
 
 
 def regression(df: DataFrame, target: str, pred: str, empty: float | None = None, by: list[str] | None = None) -> DataFrame:
@@ -62,6 +62,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 def conformal_quantile(df: DataFrame, target: str, pred: str, coverage: float = 0.9) -> DataFrame:
     """One row: the ceil((n + 1) c)-th smallest absolute residual, the n-th at most."""
     r = df.select(F.abs(F.col(target) - F.col(pred)).alias("r")).where("r is not null").groupBy("r").agg(F.count("*").alias("m"))
+    r = cut(r)
     n = r.agg(F.sum("m").alias("n"))
     run = cumulative(r, [], "r", {"last": "m"}).crossJoin(F.broadcast(n))  # one row
     k = F.least(F.greatest(F.ceil((F.col("n") + 1) * coverage), F.lit(1)), F.col("n"))

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder; on one machine without one, in a temporary folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
+    return df.checkpoint()
+
+
 def _ranges(df: DataFrame, keys: list[str], order: str, buckets: int) -> DataFrame:
     """``df`` with ``__bucket``: which range of approximate quantiles of its key a row is in."""
     share = [i / buckets for i in range(1, buckets)]
@@ -18,9 +31,10 @@ def cumulative(df: DataFrame, keys: list[str], order: str, sums: dict[str, str],
     """``df`` with running sums of ``sums`` (new name: column), by ``order`` (distinct within a key).
 
     A key's rows fall into ranges by approximate quantiles; windows run inside ranges, and the ranges'
-    totals, at most ``buckets`` a key, give the offsets. No task gets a whole key.
+    totals, at most ``buckets`` a key, give the offsets. No task gets a whole key. ``df`` is computed
+    once and cut, as bounds, totals and windows all read it.
     """
-    placed = _ranges(df, keys, order, buckets)
+    placed = _ranges(cut(df), keys, order, buckets)
     part = Window.partitionBy(*keys, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = placed.groupBy(*keys, "__bucket").agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -33,7 +47,7 @@ def cumulative(df: DataFrame, keys: list[str], order: str, sums: dict[str, str],
 
 def with_next(df: DataFrame, keys: list[str], order: str, name: str, buckets: int = 64) -> DataFrame:
     """``df`` with the next greater ``order`` of the key (distinct within it), in ranges as in ``cumulative``."""
-    placed = _ranges(df, keys, order, buckets)
+    placed = _ranges(cut(df), keys, order, buckets)
     firsts = placed.groupBy(*keys, "__bucket").agg(F.min(order).alias("__first"))
     after = firsts.select(*keys, "__bucket", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__bucket")).alias("__next"))
     inside = F.lead(order).over(Window.partitionBy(*keys, "__bucket").orderBy(order))
@@ -80,9 +94,9 @@ def average_ranks(df: DataFrame, value: str, name: str = "rank", keys: list[str]
 
 def rank_normalized(df: DataFrame, value: str, tie: str, name: str = "rank01") -> DataFrame:
     """(position - 1) / (n - 1), ties by ``tie``; 1 for a single row."""
-    counted = df.groupBy(value).agg(F.count("*").alias("__n"))
+    counted = cut(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n")))
     before = cumulative(counted, [], value, {"__last": "__n"}).select(value, (F.col("__last") - F.col("__n")).alias("__before"))
-    n = df.agg(F.count(value).alias("__all"))
+    n = counted.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__all"))
     placed = df.join(before, value).crossJoin(F.broadcast(n))  # one row
     at = F.col("__before") + F.row_number().over(Window.partitionBy(value).orderBy(tie)) - 1
     return placed.withColumn(name, F.when(F.col("__all") > 1, at / (F.col("__all") - 1)).otherwise(1.0)).drop("__before", "__all")

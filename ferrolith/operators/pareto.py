@@ -6,26 +6,16 @@ is compared. Only that second, far smaller set meets in one place, where it is c
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 512
-
+from ferrolith.operators.ordered import cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder; on one machine without one, in a temporary folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
-    return df.checkpoint()
+BLOCK = 512
 
 
 def dominated(points: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -201,21 +191,27 @@ def select_diverse(df: DataFrame, score: str, key: str, vector: str, k: int, wei
     return df.sparkSession.createDataFrame([(int(c), i) for i, c in enumerate(chosen)], f"{key} long, pick int")
 
 
-def k_center(df: DataFrame, key: str, vector: str, k: int, first: int | None = None) -> DataFrame:
-    """Greedy k-center: k rounds, each a distributed maximum of the distance to the chosen, ties to the smaller key."""
+def k_center(df: DataFrame, key: str, vector: str, k: int, first: int | None = None, kept_rounds: int = 8) -> DataFrame:
+    """Greedy k-center: k rounds, each a distributed maximum of the distance to the chosen, ties to the smaller key.
+
+    A row keeps its distance to the nearest centre; centres since the last ``kept_rounds`` are in the
+    plan, older ones in that distance, so that neither the plan nor a round's work grows with k.
+    """
     start = df.agg(F.min(key)).first()[0] if first is None else first
-    chosen: list = [start]
-    near = None
-    point = df.where(F.col(key) == start).select(vector).first()[0]
-    table = df.select(key, F.transform(vector, lambda v: v.cast("double")).alias("v"))
-    state = table.withColumn("near", F.lit(float("inf")))
+    chosen, points = [start], [df.where(F.col(key) == start).select(vector).first()[0]]
+    state = df.select(F.col(key).alias("key"), F.transform(vector, lambda v: v.cast("double")).alias("v"), F.lit(float("inf")).alias("near"))
+
+    def nearest(centres: list) -> Column:
+        gaps = [F.aggregate(F.zip_with("v", F.array(*(F.lit(float(c)) for c in p)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d) for p in centres]
+        return F.least(F.col("near"), *gaps)
+
     for _ in range(k - 1):
-        centers = [point] if near is None else [*near, point]
-        near = centers
-        distance = [F.aggregate(F.zip_with("v", F.array(*(F.lit(float(c)) for c in p)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d) for p in centers]
-        best = state.where(~F.col(key).isin(chosen)).select(F.struct(F.least(*distance, F.lit(float("inf"))).alias("d"), (-F.col(key)).alias("k")).alias("s"), "v").agg(F.max_by("v", "s").alias("v"), F.max("s").alias("s")).first()
+        if len(points) == kept_rounds:
+            state, points = cut(state.withColumn("near", nearest(points))), []
+        offered = state.where(~F.col("key").isin(chosen)).select(F.struct(nearest(points).alias("d") if points else F.col("near").alias("d"), (-F.col("key")).alias("k")).alias("s"), "v")
+        best = offered.agg(F.max_by("v", "s").alias("v"), F.max("s").alias("s")).first()
         if best.s is None:
             break
         chosen.append(-best.s.k)
-        point = list(best.v)
+        points.append(list(best.v))
     return df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(chosen)], f"{key} long, pick int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrolith.operators.pareto import cut
+from ferrolith.operators.ordered import cut
 
 
 def paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, most_steps: int = 4) -> DataFrame:

@@ -74,9 +74,9 @@ def median_mad(values: DataFrame) -> DataFrame:
 
 def _upper_median(values: DataFrame, value: str) -> DataFrame:
     """The element at n // 2 of the sorted values: the discrete percentile just above the middle."""
-    from ferrolith.operators.ordered import cumulative
+    from ferrolith.operators.ordered import cumulative, cut
 
-    counts = values.groupBy("property", value).agg(F.count("*").alias("__n"))
+    counts = cut(values.groupBy("property", value).agg(F.count("*").alias("__n")))
     n = counts.groupBy("property").agg(F.sum("__n").alias("__all"))
     placed = cumulative(counts, ["property"], value, {"__last": "__n"}).join(F.broadcast(n), "property")
     return placed.where(F.col("__last") > F.floor(F.col("__all") / 2)).groupBy("property").agg(F.min(value).alias("middle"), F.first("__all").alias("n"))
@@ -84,7 +84,9 @@ def _upper_median(values: DataFrame, value: str) -> DataFrame:
 
 def outliers(values: DataFrame, key: str, sigma: float = 5.0) -> DataFrame:
     """(property, key, value) beyond sigma * 1.4826 * MAD of the upper median; under 3 values there are none."""
-    middle = _upper_median(values, "value")
+    from ferrolith.operators.ordered import cut
+
+    middle = cut(_upper_median(values, "value"))
     met = values.join(F.broadcast(middle), "property").withColumn("distance", F.abs(F.col("value") - F.col("middle")))
     mad = _upper_median(met.drop("middle", "n"), "distance").select("property", F.when(F.col("middle") == 0, F.lit(1e-10)).otherwise(F.col("middle")).alias("mad"))
     return met.join(F.broadcast(mad), "property").where((F.col("n") >= 3) & (F.col("distance") > sigma * 1.4826 * F.col("mad"))).select("property", key, "value")

@@ -104,8 +104,13 @@ def adaptive_noise(df: DataFrame, energy: str, noise: float = 0.03, slope: float
     return clip(noise * (1 + slope * F.coalesce(z, F.lit(0.0))), 1e-8, 1.0)
 
 
-def stable(df: DataFrame, bound: float = 0.1, probability: float | None = None, noise: float = 0.03, tie: str = "jid") -> DataFrame:
-    """Hard: ehull within the bound. With ``probability``: its chance is at least that, best first, equal ones by ``tie``."""
+def stable(df: DataFrame, bound: float = 0.1, probability: float | None = None, noise: float = 0.03, tie: str = "jid", gap: tuple | None = None, gap_column: str = "bandgap_best") -> DataFrame:
+    """Hard: ehull within the bound. With ``probability``: its chance is at least that, best first, equal ones by ``tie``.
+
+    ``gap``: an inclusive range of ``gap_column``, with open ends as None.
+    """
+    if gap is not None:
+        df = df.where(criterion(gap_column, gap))
     if probability is None:
         return df.where(F.col("ehull") <= bound)
     return df.withColumn("stability_probability", stability_probability(F.col("ehull"), bound, noise)).where(F.col("stability_probability") >= probability).orderBy(F.desc("stability_probability"), tie)
@@ -125,7 +130,10 @@ def topology_probability(spillage: Column, stability: Column, gap: Column, thres
     return p
 
 
-def topological(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+def topological(df: DataFrame, threshold: float = 0.5, gap_column: str = "optb88vdw_bandgap", most_gap: float = 0.3) -> DataFrame:
+    """Spillage over the threshold; in a table without that column, a gap of ``most_gap`` at most stands for it."""
+    if "spillage" not in df.columns:
+        return df.where(F.col(gap_column) <= most_gap)
     return df.where(F.col("spillage") > threshold)
 
 

@@ -40,15 +40,18 @@ def spread_ordinals(n: int, k: int) -> list[int]:
     return sorted({round(i * (n - 1) / (k - 1)) for i in range(k)})
 
 
-def option_products(df: DataFrame, key: str, options: list[str], most: int = 4096) -> DataFrame:
-    """(key, ordinal, choice array): every combination of a row's option arrays, ordinals as mixed-radix numbers."""
-    size = reduce(lambda a, b: a * b, (F.size(o) for o in options))
-    each = df.select(key, *options, F.explode(F.sequence(F.lit(0), F.least(size, F.lit(most)) - 1)).alias("ordinal"))
-    parts, radix = [], F.lit(1)
-    for o in reversed(options):
-        parts.insert(0, F.get(F.col(o), (F.floor(F.col("ordinal") / radix) % F.size(o)).cast("int")))
-        radix = radix * F.size(o)
-    return each.select(key, "ordinal", F.array(*parts).alias("choice"))
+def option_products(df: DataFrame, key: str, options: list[str]) -> DataFrame:
+    """(key, ordinal, choice array): every combination of a row's option arrays, ordinals as mixed-radix numbers.
+
+    One option after the other is exploded, so that no array of all combinations is made; a row with an
+    empty option has none.
+    """
+    made = df.select(key, *options, F.lit(0).cast("long").alias("ordinal"), F.slice(options[0], 1, 0).alias("choice"))
+    for o in options:
+        kept = [key, *options, "choice", "ordinal"]
+        made = made.select(*kept, F.posexplode(o).alias("__at", "__option"))
+        made = made.withColumn("ordinal", F.col("ordinal") * F.size(o) + F.col("__at")).withColumn("choice", F.concat("choice", F.array("__option"))).select(*kept)
+    return made.select(key, "ordinal", "choice")
 
 
 def subsets(elements: Column, most: int = 12) -> Column:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ferrolith.functions import chem, numeric
 from ferrolith.operators import acquisition, drift, fusion, learning, metrics, ordered, pareto, pathways, physics, quality, search, selection, similarity, splits
-from ferrolith.plans.stand_ins import MATERIALS, materials, phi, r6, read
+from ferrolith.plans.stand_ins import ELEMENTS, MATERIALS, materials, phi, r6, read
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 WITH = f"WITH {MATERIALS}"
+_LIST_Z = "MAP {" + ", ".join(f"'{e}': {chem.NUMBERS[e]}" for e in ELEMENTS) + "}"
 
 
 def query(sql: str | None = None):
@@ -216,7 +217,7 @@ _SIDES = "old AS (SELECT event_type AS property, value FROM events WHERE ts < TI
 
 
 def _sides(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("property"), "value", "ts")
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("property"), "value", "ts", F.col("event_id").alias("key"))
     at = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     return e.where(F.col("ts") < at).drop("ts"), e.where(F.col("ts") >= at).drop("ts")
 
@@ -354,19 +355,33 @@ def crowding_distance(spark, sf_dir):
     return rounded(pareto.crowding(materials(spark, sf_dir), ["ehull", "density"], "source_key", "jid").select("jid", "crowding"), "crowding")
 
 
-@query()
+@query(f"""WITH RECURSIVE {MATERIALS}, m AS MATERIALIZED (SELECT jid, spillage AS a, -ehull AS b, density AS c FROM materials),
+dom AS MATERIALIZED (SELECT x.jid AS over, y.jid AS jid FROM m x JOIN m y ON x.a >= y.a AND x.b >= y.b AND x.c >= y.c AND (x.a > y.a OR x.b > y.b OR x.c > y.c)),
+chain AS (SELECT jid, 0 AS front FROM m UNION SELECT dom.jid, chain.front + 1 FROM chain JOIN dom ON chain.jid = dom.over) SELECT jid, max(front) AS front FROM chain GROUP BY 1""")
 def non_dominated_sort(spark, sf_dir):
     t = materials(spark, sf_dir).select("jid", "spillage", (-F.col("ehull")).alias("e"), "density")
     return pareto.fronts(t, ["spillage", "e", "density"], "jid")
 
 
-@query()
+def _diverse_sql(k: int) -> str:
+    """Greedy picks, one after the other: the score less half the highest cosine to those picked."""
+    said = ["t0 AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v, label / 10.0::DOUBLE AS score, 0.0::DOUBLE AS near, false AS gone FROM embeddings)"]
+    for i in range(k):
+        said.append(f"p{i} AS MATERIALIZED (SELECT vec_id, v FROM t{i} WHERE NOT gone ORDER BY score - 0.5::DOUBLE * near DESC, score DESC, vec_id LIMIT 1)")
+        said.append(f"t{i + 1} AS MATERIALIZED (SELECT t.vec_id, t.v, score, greatest(near, list_cosine_similarity(t.v, p.v)) AS near, gone OR t.vec_id = p.vec_id AS gone FROM t{i} t, p{i} p)")
+    return "WITH " + ", ".join(said) + " " + " UNION ALL ".join(f"SELECT vec_id, CAST({i} AS INTEGER) AS pick FROM p{i}" for i in range(k))
+
+
+@query(_diverse_sql(20))
 def diverse_selection(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").withColumn("score", F.col("label") / 10)
     return pareto.select_diverse(e, "score", "vec_id", "embedding", 20)
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p0 AS MATERIALIZED (SELECT vec_id, v FROM e ORDER BY vec_id LIMIT 1), d1 AS MATERIALIZED (SELECT e.vec_id, e.v, list_distance(e.v, p0.v) AS d FROM e, p0),
+p1 AS MATERIALIZED (SELECT vec_id, v FROM d1 ORDER BY d DESC, vec_id LIMIT 1), d2 AS MATERIALIZED (SELECT d1.vec_id, d1.v, least(d, list_distance(d1.v, p1.v)) AS d FROM d1, p1),
+p2 AS MATERIALIZED (SELECT vec_id, v FROM d2 ORDER BY d DESC, vec_id LIMIT 1), d3 AS MATERIALIZED (SELECT d2.vec_id, d2.v, least(d, list_distance(d2.v, p2.v)) AS d FROM d2, p2), p3 AS (SELECT vec_id FROM d3 ORDER BY d DESC, vec_id LIMIT 1)
+SELECT vec_id, CAST(0 AS INTEGER) AS pick FROM p0 UNION ALL SELECT vec_id, 1 FROM p1 UNION ALL SELECT vec_id, 2 FROM p2 UNION ALL SELECT vec_id, 3 FROM p3""")
 def k_center(spark, sf_dir):
     return pareto.k_center(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 4)
 
@@ -411,9 +426,13 @@ def prototype_split(spark, sf_dir):
     return splits.prototype_split(materials(spark, sf_dir), "jid", "spg_number")
 
 
-@query()
+@query(f"""WITH {_IID}, a AS (SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN pos <= n - 2 * (n // 10) THEN 'train' WHEN pos <= n - n // 10 THEN 'val' ELSE 'test' END AS split FROM k),
+p AS (SELECT split, substr(md5(id), 1, 2) AS k, count(*) AS n, {_SHA} AS h FROM a GROUP BY 1, 2), s AS (SELECT split, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, chr(10) ORDER BY k)) AS h FROM p GROUP BY 1),
+j AS (SELECT '{{"seed":42,"splits":{{' || string_agg('"' || split || '":{{"n":' || n || ',"ids_sha256":"' || h || '"}}', ',' ORDER BY split) || '}}}}' AS said FROM s)
+SELECT split, n, h AS ids_sha256, CAST(0 AS BIGINT) AS overlap, 42 AS seed, sha256(said) AS manifest_id FROM s, j""")
 def split_manifest(spark, sf_dir):
-    return splits.manifest(splits.iid_split(read(spark, sf_dir, "customer"), "c_custkey"), "c_custkey")
+    made = splits.manifest(splits.iid_split(read(spark, sf_dir, "customer"), "c_custkey"), "c_custkey")
+    return made.select(F.explode("splits").alias("split", "s"), "overlap", "seed", "manifest_id").select("split", "s.n", "s.ids_sha256", "overlap", "seed", "manifest_id")
 
 
 _PRED = "pr AS (SELECT doc_id, 1 / (1 + exp(-(ln(n_chars) - 7))) AS p, quality AS y FROM documents JOIN labels USING (doc_id))"
@@ -430,9 +449,10 @@ def calibration_metrics(spark, sf_dir):
     return rounded(fusion.calibration(_scored(spark, sf_dir), "p", "y"), "ece", "brier", "nll")
 
 
-@query()
+@query(f"""WITH {_PRED}, z AS (SELECT ln(greatest(least(p, 1 - 1e-6), 1e-6) / (1 - greatest(least(p, 1 - 1e-6), 1e-6))) AS z, y FROM pr), t AS (SELECT 0.25 * pow(32.0::DOUBLE, i / 160.0::DOUBLE) AS t FROM range(161) r(i)),
+n AS (SELECT t, avg(ln(1 + exp(CASE WHEN y = 1 THEN -z / t ELSE z / t END))) AS nll FROM z, t GROUP BY 1) SELECT round(t, 6) AS temperature, round(nll, 6) AS nll FROM n ORDER BY n.nll, t LIMIT 1""")
 def temperature_fit(spark, sf_dir):
-    return fusion.fit_temperature(_scored(spark, sf_dir), "p", "y")
+    return rounded(fusion.fit_temperature(_scored(spark, sf_dir), "p", "y"), "temperature", "nll")
 
 
 @query(f"""WITH {_PRED}, r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS k FROM pr)
@@ -508,9 +528,15 @@ def split_jaccard(spark, sf_dir):
     return splits.jaccard(part(0), part(1), "c_custkey").select("split", F.round("jaccard", 9).alias("jaccard"))
 
 
-@query()
+@query(f"""{WITH}, z AS (SELECT greatest(ehull, 1e-9) AS s, density - 5 AS e FROM materials), y AS (SELECT *, e / s AS z FROM z)
+SELECT count(*) AS n, round(avg(s), 6) AS mean_std, round(avg(0.5 * ln(2 * pi()) + ln(s) + 0.5 * z * z), 4) AS nll,
+round(avg(s * (z * (2 * {phi("z")} - 1) + 2 * exp(-0.5 * z * z) / sqrt(2 * pi()) - 1 / sqrt(pi()))), 5) AS crps,
+round(avg((abs(z) <= 1.6448536269514722::DOUBLE)::INT), 6) AS coverage90, round(avg((abs(z) <= 1.959963984540054::DOUBLE)::INT), 6) AS coverage95,
+round(avg(2 * 1.959963984540054::DOUBLE * s + 40 * greatest(abs(e) - 1.959963984540054::DOUBLE * s, 0)), 5) AS interval_score, round(avg(z), 4) AS z_mean, round(stddev_pop(z), 4) AS z_std FROM y""")
 def energy_uncertainty(spark, sf_dir):
-    return metrics.uncertainty(materials(spark, sf_dir).withColumn("five", F.lit(5.0)), "density", "five", "ehull")
+    got = metrics.uncertainty(materials(spark, sf_dir).withColumn("five", F.lit(5.0)), "density", "five", "ehull")
+    digits = {"mean_std": 6, "nll": 4, "crps": 5, "coverage90": 6, "coverage95": 6, "interval_score": 5, "z_mean": 4, "z_std": 4}
+    return got.withColumns({n: r6(F.col(n), k) for n, k in digits.items()})
 
 
 @query()
@@ -518,10 +544,12 @@ def bootstrap_interval(spark, sf_dir):
     return metrics.bootstrap_mean(materials(spark, sf_dir), "density", "jid", resamples=200)
 
 
-@query()
+@query(f"""{WITH}, h AS (SELECT * FROM materials WHERE label = 0), s AS (SELECT """ + ", ".join(f"median({p}) AS m_{p}, CASE WHEN quantile_cont({p}, 0.75) - quantile_cont({p}, 0.25) > 1e-12 * 1.349 THEN (quantile_cont({p}, 0.75) - quantile_cont({p}, 0.25)) / 1.349::DOUBLE ELSE 1 END AS s_{p}" for p in ("ehull", "density", "spillage")) + """ FROM h),
+d AS (SELECT jid, label, sqrt((""" + " + ".join(f"pow(({p} - m_{p}) / s_{p}, 2)" for p in ("ehull", "density", "spillage")) + """) / 3) AS d FROM materials, s), b AS (SELECT greatest(quantile_cont(d, 0.95), 1e-12) AS b FROM d WHERE label = 0)
+SELECT jid, round(1 - exp(-greatest(d / b - 1, 0)), 6) AS ood FROM d, b""")
 def ood_scores(spark, sf_dir):
     m = materials(spark, sf_dir)
-    return quality.ood(m, m.where("label = 0"), ["ehull", "density", "spillage"]).select("jid", "ood")
+    return rounded(quality.ood(m, m.where("label = 0"), ["ehull", "density", "spillage"]).select("jid", "ood"), "ood")
 
 
 @query()
@@ -529,16 +557,23 @@ def fuzzy_search(spark, sf_dir):
     return search.fuzzy(materials(spark, sf_dir), "Fe2O3")
 
 
-@query()
+@query(f"""{WITH}, c AS (SELECT jid, 1 / (1 + exp(-(ehull * 10 - 1))) AS p, 0.8::DOUBLE * 0.8::DOUBLE AS w FROM materials UNION ALL SELECT jid, 1 / (1 + exp(-((spillage - 0.5) / 0.1::DOUBLE))), 0.9::DOUBLE * 0.9::DOUBLE FROM materials
+UNION ALL SELECT jid, spillage, least(greatest(1 - coalesce(ehull, 0.25), 0.05), 1) * 0.5::DOUBLE FROM materials), k AS (SELECT jid, w, least(greatest(p, 1e-6), 1 - 1e-6) AS p FROM c WHERE p IS NOT NULL),
+g AS (SELECT jid, sum(w * ln(p / (1 - p))) AS wl, sum(w) AS w, sum(w * w) AS ww FROM k GROUP BY 1)
+SELECT jid, round(1 / (1 + exp(-wl / w)), 6) AS probability, round(w * w / ww / (1 + 0.3::DOUBLE * (w * w / ww - 1)), 6) AS n_eff FROM g""")
 def pooled_topology(spark, sf_dir):
     m = materials(spark, sf_dir).withColumns({"si_score": F.col("ehull") * 10 - 1, "ml_probability": F.col("spillage"), "ml_uncertainty": F.col("ehull")})
-    return fusion.pool_logits(fusion.evidence_channels(m), {"si": (8.0, 2.0), "spillage": (9.0, 1.0), "ml": (5.0, 5.0)})
+    return rounded(fusion.pool_logits(fusion.evidence_channels(m), {"si": (8.0, 2.0), "spillage": (9.0, 1.0), "ml": (5.0, 5.0)}), "probability", "n_eff")
 
 
-@query()
+@query(f"""{WITH}, f AS (SELECT jid, e1, e2, c1, c2, [greatest((CASE WHEN e1 = x THEN c1 ELSE 0 END + CASE WHEN e2 = x THEN c2 ELSE 0 END) / (c1 + c2), 0) FOR x IN ['Li', 'O', 'Fe', 'Si']] AS w, {_LIST_Z}[e1] AS z1, {_LIST_Z}[e2] AS z2 FROM materials),
+g AS (SELECT *, [greatest(CASE WHEN list_sum(w) > 0 THEN x / list_sum(w) ELSE 0.25 END, 1e-8) FOR x IN w] AS q, (c1 * z1 + c2 * z2) / (c1 + c2) AS zm, (c1 * z1 * z1 + c2 * z2 * z2) / (c1 + c2) AS zq FROM f)
+SELECT jid, [round(x / list_sum(q), 6) FOR x IN q] AS v, CASE WHEN e1 = e2 THEN e1 || ':' || CAST(c1 + c2 AS VARCHAR) WHEN e1 < e2 THEN e1 || ':' || CAST(c1 AS VARCHAR) || '|' || e2 || ':' || CAST(c2 AS VARCHAR) ELSE e2 || ':' || CAST(c2 AS VARCHAR) || '|' || e1 || ':' || CAST(c1 AS VARCHAR) END AS signature,
+round(zm, 6) AS z_mean, round(sqrt(greatest(zq - zm * zm, 0)), 4) AS z_std, CAST(least(z1, z2) AS INTEGER) AS z_least, CAST(greatest(z1, z2) AS INTEGER) AS z_most FROM g""")
 def composition_vectors(spark, sf_dir):
     p = chem.parse_formula(F.col("formula"))
-    return materials(spark, sf_dir).select("jid", numeric.clr_softmax(chem.fraction_vector(p, ["Li", "O", "Fe", "Si"])).alias("v"), chem.signature(p).alias("signature"), chem.z_moments(p).alias("z"))
+    t = materials(spark, sf_dir).select("jid", numeric.clr_softmax(chem.fraction_vector(p, ["Li", "O", "Fe", "Si"])).alias("v"), chem.signature(p).alias("signature"), chem.z_moments(p).alias("z"))
+    return t.select("jid", F.transform("v", lambda x: F.round(x, 6)).alias("v"), "signature", r6(F.col("z.mean")).alias("z_mean"), r6(F.col("z.std"), 4).alias("z_std"), F.col("z.least").alias("z_least"), F.col("z.most").alias("z_most"))
 
 
 @query(f"{WITH}, e AS (SELECT jid, unnest(list_distinct([e1, e2])) AS element FROM materials) SELECT element, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, element LIMIT 24")
@@ -597,15 +632,23 @@ def ensemble_spread(spark, sf_dir):
     return got.select("entity", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT n_regionkey AS entity, CAST(n_nationkey AS VARCHAR) AS src, CAST((n_nationkey + d) % 25 AS VARCHAR) AS dst, (n_nationkey % 3) / 10.0::DOUBLE AS dg, (n_nationkey % 5) / 10.0::DOUBLE + 0.1::DOUBLE AS ea FROM nation, (VALUES (5), (10)) t(d)),
+ends AS (SELECT n_regionkey AS entity, CAST(min(n_nationkey) AS VARCHAR) AS a, CAST(max(n_nationkey) AS VARCHAR) AS b FROM nation GROUP BY 1),
+w AS (SELECT entity, a AS at, [a] AS path, 0.0::DOUBLE AS delta_g, 0.0::DOUBLE AS activation FROM ends UNION ALL SELECT w.entity, e.dst, list_append(path, e.dst), delta_g + dg, activation + ea FROM w JOIN e ON w.entity = e.entity AND w.at = e.src WHERE NOT list_contains(path, e.dst) AND len(path) <= 4),
+f AS (SELECT w.entity, path, delta_g, activation, CAST(len(path) - 1 AS INTEGER) AS steps FROM w JOIN ends ON w.entity = ends.entity AND w.at = ends.b WHERE len(path) > 1),
+u AS (SELECT * FROM f WHERE activation <= 3 AND delta_g <= 1 AND NOT EXISTS (SELECT 1 FROM f o WHERE o.entity = f.entity AND o.activation <= f.activation AND o.delta_g <= f.delta_g AND o.steps <= f.steps AND (o.activation < f.activation OR o.delta_g < f.delta_g OR o.steps < f.steps))),
+g AS (SELECT *, 0.5::DOUBLE * coalesce((activation - min(activation) OVER x) / nullif(max(activation) OVER x - min(activation) OVER x, 0), 0) AS g1, 0.4::DOUBLE * coalesce((delta_g - min(delta_g) OVER x) / nullif(max(delta_g) OVER x - min(delta_g) OVER x, 0), 0) AS g2,
+  0.1::DOUBLE * coalesce((steps - min(steps) OVER x) / nullif(max(steps) OVER x - min(steps) OVER x, 0), 0) AS g3 FROM u WINDOW x AS (PARTITION BY entity)),
+r AS (SELECT *, greatest(g1, g2, g3) + 0.05::DOUBLE * (g1 + g2 + g3) AS score FROM g), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score, list_aggregate(path, 'string_agg', '>')) AS n FROM r)
+SELECT entity, path, round(delta_g, 6) AS delta_g, round(activation, 6) AS activation, steps, round(score, 6) AS score, round(exp(-(activation + greatest(delta_g, 0))) / sqrt(greatest(steps, 1)), 6) AS synthesis_score FROM k WHERE n = 1""")
 def step_paths(spark, sf_dir):
-    """Bounded paths between nations over suppliers' and customers' shared orders as steps."""
+    """Bounded paths between the nations of each region: the least to the greatest key by steps of 5 and 10."""
     n = read(spark, sf_dir, "nation")
     k = F.col("n_nationkey")
     edges = n.select(F.col("n_regionkey").alias("entity"), k.cast("string").alias("src"), F.explode(F.array(((k + 5) % 25).cast("string"), ((k + 10) % 25).cast("string"))).alias("dst"), (k % 3 / 10).alias("delta_g"), (k % 5 / 10 + 0.1).alias("activation"))
     ends = n.groupBy(F.col("n_regionkey").alias("entity")).agg(F.min(k).cast("string").alias("a"), F.max(k).cast("string").alias("b"))
     found = pathways.paths(edges, ends.select("entity", F.col("a").alias("node")), ends.select("entity", F.col("b").alias("node")))
-    return pathways.synthesis_score(pathways.best_path(pathways.feasible(found)))
+    return rounded(pathways.synthesis_score(pathways.best_path(pathways.feasible(found))), "delta_g", "activation", "score", "synthesis_score")
 
 
 @query()
@@ -619,7 +662,7 @@ def composition_forest(spark, sf_dir):
     return learning.composition_forest(m.where("part % 5 <> 0"), m.where("part % 5 = 0"), "label", trees=10).select("jid", "probability")
 
 
-@query()
+@query("SELECT r_regionkey, CAST(i * 3 + j AS BIGINT) AS ordinal, [['a', 'b'][i + 1], ['c', 'd', 'e'][j + 1]] AS choice FROM region, range(2) x(i), range(3) y(j)")
 def option_products(spark, sf_dir):
     r = read(spark, sf_dir, "region").select("r_regionkey", F.array(F.lit("a"), F.lit("b")).alias("x"), F.array(F.lit("c"), F.lit("d"), F.lit("e")).alias("y"))
     return selection.option_products(r, "r_regionkey", ["x", "y"])
