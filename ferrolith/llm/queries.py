@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrolith.llm import chat, decontaminate, licenses, lm, mixing, quality, rules, sharding, simhash, warc
+from ferrolith.llm import chat, collocations, decontaminate, licenses, lm, mixing, quality, rules, sharding, simhash, warc
 from ferrolith.llm._common import remainder, shared_dir
 
 
@@ -74,6 +74,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = collocations.top(collocations.mine(_table(spark, sf_dir, "documents")))
+    return got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
+    "op12_collocations": op12_collocations,
     "pipeline": pipeline,
 }
 
@@ -111,4 +117,16 @@ FROM d LEFT JOIN h USING (row) LEFT JOIN t USING (row)""",
 e AS (SELECT *, length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + 24 AS chars FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY 1""",
+    "op12_collocations": r"""WITH p AS (SELECT row, lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, text FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS s, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) AS t(k)) GROUP BY ALL HAVING k = 1 OR count(*) >= 100),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, s, f, string_split(s, ' ') AS w FROM g WHERE k > 1),
+inside AS (SELECT DISTINCT b.lang, array_to_string(b.w[i:i + m - 1], ' ') AS s, b.f FROM (SELECT lang, k, w, f, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) AS q(m) WHERE m < k) AS b),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inside x WHERE x.lang = c.lang AND x.s = c.s AND 100 * x.f >= 100 * c.f)),
+cut AS (SELECT lang, s, f, w, unnest(range(1, k)) AS j FROM kept),
+sc AS (SELECT cut.lang, cut.s, cut.f AS a, a1.f AS l, b1.f AS r, n, j, CAST((CAST(1000 AS HUGEINT) * cut.f * n) // (CAST(a1.f AS HUGEINT) * b1.f) AS BIGINT) AS score FROM cut
+JOIN g a1 ON a1.lang = cut.lang AND a1.s = array_to_string(w[1:j], ' ') JOIN g b1 ON b1.lang = cut.lang AND b1.s = array_to_string(w[j + 1:], ' ') JOIN t ON t.lang = cut.lang),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS rank, s AS phrase, a, l, r, n, score FROM best QUALIFY rank <= 2000""",
 }
