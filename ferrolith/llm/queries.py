@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrolith.llm import chat, collocations, decontaminate, licenses, lm, mixing, quality, rules, sharding, simhash, warc
+from ferrolith.llm import chat, collocations, decontaminate, licenses, lm, mixing, packing, quality, rules, sharding, simhash, spelling, warc
 from ferrolith.llm._common import remainder, shared_dir
 
 
@@ -74,11 +74,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if not tokenizer:
+        import public_tokenizers
+
+        tokenizer = str(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = collocations.top(collocations.mine(_table(spark, sf_dir, "documents")))
     return got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = spelling.variants(spelling.vocabulary(_table(spark, sf_dir, "documents")))
+    return got.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,7 +109,9 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
+    "op11_packing": op11_packing,
     "op12_collocations": op12_collocations,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
 
@@ -129,4 +144,18 @@ sc AS (SELECT cut.lang, cut.s, cut.f AS a, a1.f AS l, b1.f AS r, n, j, CAST((CAS
 JOIN g a1 ON a1.lang = cut.lang AND a1.s = array_to_string(w[1:j], ' ') JOIN g b1 ON b1.lang = cut.lang AND b1.s = array_to_string(w[j + 1:], ' ') JOIN t ON t.lang = cut.lang),
 best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, j) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS rank, s AS phrase, a, l, r, n, score FROM best QUALIFY rank <= 2000""",
+    "op13_spelling": r"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) AS r(b))),
+runs AS (SELECT CAST(doc_id AS VARCHAR) AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS r FROM documents),
+each AS (SELECT d, r, count(*) AS m FROM runs WHERE length(r) >= 7 GROUP BY 1, 2),
+bytes AS (SELECT d, r, m, flatten(list_transform(string_split(d || ':' || r, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(ch) - 64 AS BIGINT)] END)) AS b FROM each),
+h AS (SELECT r, m, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h FROM bytes, tab),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substring(r, 1, h % length(r)) || substring(r, h % length(r) + 2) ELSE r END AS word, m FROM h),
+v AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY 1 HAVING sum(m) >= 2),
+e AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS near, b.n AS m FROM e a JOIN e b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+UNION SELECT e.word, v.word, v.n FROM e JOIN v ON e.less = v.word UNION SELECT v.word, e.word, e.n FROM e JOIN v ON e.less = v.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY m DESC, near) AS f, max(m) AS m FROM near GROUP BY 1),
+f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN f END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS z, 0 AS steps FROM f UNION ALL SELECT chain.word, f.form, steps + 1 FROM chain JOIN f ON f.word = chain.z WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(z, steps) AS root FROM chain GROUP BY 1) c USING (word)""",
 }
