@@ -5,10 +5,11 @@ piece of text ends, is all that is counted; a ROLLUP sums the counts of successi
 and these are the counts of all shorter phrases, so that no order is exploded or counted by itself.
 
 Windows are kept short where that is provably harmless: a first pass counts words and pairs by 64-bit
-hashes, and a window ends before a pair that occurs fewer than ``least`` times, as no phrase across it
-can be a candidate. The pairs that do occur so often are told by a bitmap, whose false positives only
-leave windows longer than need be. Its size follows their number, up to MOST_BITS; beyond that it fills
-up and fewer windows are cut, with the same result.
+hashes, a second one the triples that frequent pairs make, and a window ends before a pair or triple that
+occurs fewer than ``least`` times, as no phrase across it can be a candidate. Those that do occur so often
+are told by bitmaps, whose false positives only leave windows longer than need be. Their sizes follow the
+number of what is frequent, up to MOST_BITS; beyond that they fill up and fewer windows are cut, with the
+same result.
 
 Null texts are empty, a null lang is ``und``; other columns than lang and text are not read, so that
 their names can't clash; repeated rows count as often as they occur; an empty table has no phrases.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +52,24 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _keys(words: Words, lang: np.ndarray, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each word with its language, and of each word with the word that follows it."""
+def _shifted(x: np.ndarray, k: int) -> np.ndarray:
+    """``x`` from its place ``k`` on, filled up with zeros."""
+    return np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
+
+
+def _keys(words: Words, lang: np.ndarray, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each word with its language, and of it with the next one and the next two words."""
     hashes = np.array([xxhash.xxh64_intdigest(v) for v in words.values], np.uint64)
     tongue = np.array([xxhash.xxh64_intdigest(v.encode()) for v in langs], np.uint64)
     one = _mixed(tongue[lang], hashes[words.codes])
-    return one, _mixed(one, np.append(hashes[words.codes[1:]], np.uint64(0)))
+    each = hashes[words.codes]
+    two = _mixed(one, _shifted(each, 1))
+    return one, two, _mixed(two, _shifted(each, 2))
+
+
+def _triples(pairs: np.ndarray) -> np.ndarray:
+    """Where a pair begins that the next word begins another one."""
+    return pairs & _shifted(pairs, 1)
 
 
 def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
@@ -66,15 +80,15 @@ def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(c[order], first))], ["h", "n"])
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of words and pairs with their counts in the slices of a task."""
+def _hashed(batches: Iterator[pa.RecordBatch], pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Hashes of words and pairs, or given the bitmap of frequent ``pairs`` of triples made of such, with counts in parts of a task."""
     hashes, counts, held = [], [], 0
     for b in slices(batches, "text"):
         words = split_words(b.column("text"), SPACES, BREAKS, lower=True)
         if not len(words.codes):
             continue
-        one, two = _keys(words, *_named(b, words))
-        for x in (one, two[words.linked]):
+        one, two, three = _keys(words, *_named(b, words))
+        for x in (one, two[words.linked]) if pairs is None else (three[_triples(words.linked & _test(pairs, two))],):
             h, c = np.unique(x, return_counts=True)
             hashes.append(h)
             counts.append(c)
@@ -86,9 +100,10 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _summed(hashes, counts)
 
 
-def _bitmap(docs: DataFrame, least: int) -> np.ndarray:
-    """A bitmap over the low bits of the hashes of words and pairs that occur ``least`` times or more."""
-    keys = saved(docs.mapInArrow(_hashed, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"))
+def _bitmap(docs: DataFrame, least: int, pairs: Broadcast | None = None) -> np.ndarray:
+    """A bitmap over the low bits of the hashes of ``_hashed`` that occur ``least`` times or more."""
+    counted = docs.mapInArrow(lambda it: _hashed(it, pairs.value if pairs else None), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    keys = saved(counted.where(F.col("n") >= least).select("h"))
     bits = min(MOST_BITS, max(LEAST_BITS, (keys.count() * BITS_A_KEY).bit_length()))
     place = F.col("h").bitwiseAND((1 << bits) - 1) + 1  # Spark counts a bitmap's places from 1
     parts = keys.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b"))
@@ -103,19 +118,16 @@ def _test(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _shifted(x: np.ndarray, k: int) -> np.ndarray:
-    """``x`` from its place ``k`` on, filled up with zeros."""
-    return np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
-
-
 def windows(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
     """Rows (lang, w1 .. w``order``, n): how often each window of the longest order occurs; '' pads.
 
     Only what can be part of a phrase of ``least`` occurrences is told apart: a window ends before the
-    first rarer pair, and a rarer first word is '' too.
+    first rarer pair or triple, and a rarer first word is '' too.
     """
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(docs, least))
+    shared = docs.sparkSession.sparkContext.broadcast
+    frequent = shared(_bitmap(docs, least))
+    longer = shared(_bitmap(docs, least, frequent)) if order > 2 else None
     names = [f"w{k + 1}" for k in range(order)]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,18 +136,19 @@ def windows(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFram
             if not len(words.codes):
                 continue
             lang, langs = _named(b, words)
-            one, two = _keys(words, lang, langs)
-            going, link = _test(bitmap.value, one), words.linked & _test(bitmap.value, two)
+            one, two, three = _keys(words, lang, langs)
+            going, pairs = _test(frequent.value, one), words.linked & _test(frequent.value, two)
+            triples = _triples(pairs) & _test(longer.value, three) if longer else pairs
             code, v = words.codes + 1, len(words.values) + 1
             leads = [np.where(going, code, 0)]
-            for k in range(1, order):  # a place has its k-th lead if all links before it hold
-                going = going & _shifted(link, k - 1)
+            for k in range(1, order):  # a place has its k-th lead if the pair, then all triples before it are frequent
+                going = going & (pairs if k == 1 else _shifted(triples, k - 2))
                 leads.append(np.where(going, _shifted(code, k), 0))
             values = pa.array([b"", *words.values], pa.binary()).cast(pa.string())
-            longer = leads[min(1, order - 1)] > 0
-            for places in (np.flatnonzero(~longer), np.flatnonzero(longer)):
+            several = leads[min(1, order - 1)] > 0
+            for places in (np.flatnonzero(~several), np.flatnonzero(several)):
                 keys = lang[places]
-                for c in leads if places.size and longer[places[0]] else leads[:1]:
+                for c in leads if places.size and several[places[0]] else leads[:1]:
                     keys = np.unique(keys * v + c[places], return_inverse=True)[1]
                 _, first, n = np.unique(keys, return_index=True, return_counts=True)
                 at = places[first]
