@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferrolith.plans import record_queries  # noqa: F401  registers its queries
+from ferrolith.plans import inference_queries, record_queries  # noqa: F401  they register their queries
 from ferrolith.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "search_materials"

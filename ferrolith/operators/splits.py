@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrolith.functions import chem
-
-NAMES = ("train", "val", "test")
+from ferrolith.operators import split_search
 
 
 def split_counts(n: int, ratios: tuple = (0.8, 0.1, 0.1)) -> list[int]:
@@ -44,50 +42,30 @@ def iid_split(df: DataFrame, key: str, ratios: tuple = (0.8, 0.1, 0.1), seed: in
     return placed.select(key, F.when(F.col("__at") <= train, "train").when(F.col("__at") <= train + val, "val").otherwise("test").alias("split"))
 
 
-def group_split(df: DataFrame, key: str, group: str, ratios: tuple = (0.8, 0.1, 0.1), seed: int = 42, groups_weight: float = 0.15, most_groups: int = 100_000) -> DataFrame:
-    """(key, group, split): groups stay whole; largest first, each where sizes and group counts stray least.
+def group_split(df: DataFrame, key: str, group: str, **how) -> DataFrame:
+    """(key, group, split): groups stay whole, dealt by ``split_search``; ``how``: its ratios, seed, weights, target, trait."""
+    return split_search.assign(df, key, group, **how)
+
+
+def compositional_split(df: DataFrame, key: str, formula: str = "formula", target: str | None = None, features: str | None = None, label_weight: float = 0.2, leakage_weight: float = 0.2, **how) -> DataFrame:
+    """Whole chemical systems together; what has no formula is the system ``unknown``.
 
-    The driver places groups by their sizes alone; more than ``most_groups`` are refused.
+    ``target``: a column whose mean splits should share. Systems are similar by the cosine of the mean
+    ``features`` (an array column), or by the Jaccard similarity of their elements.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    rows = sizes.select(group, "n", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(group).cast("string"), F.lit("")))).alias("h")).limit(most_groups + 1).collect()
-    if len(rows) > most_groups:
-        raise ValueError(f"over {most_groups} groups")
-    rows.sort(key=lambda r: (-r.n, r.h))
-    want = np.array(split_counts(sum(r.n for r in rows), ratios), float)
-    want_groups = np.array(split_counts(len(rows), ratios), float)
-    got, got_groups, dealt = np.zeros(3), np.zeros(3), []
-    for r in rows:
-        eye = np.eye(3)
-        size = (((got + r.n * eye - want) / np.maximum(want, 1)) ** 2).sum(axis=1)
-        number = (((got_groups + eye - want_groups) / np.maximum(want_groups, 1)) ** 2).sum(axis=1)
-        cost = np.where(want > 0, size + groups_weight * number, np.inf)
-        i = int(np.argmin(cost))
-        got[i] += r.n
-        got_groups[i] += 1
-        dealt.append([r[group], NAMES[i]])
-    for i in np.flatnonzero((want > 0) & (got_groups == 0)):  # no split stays empty while another has groups to spare
-        donor = int(np.argmax(got_groups))
-        if got_groups[donor] > 1:
-            last = max(k for k, d in enumerate(dealt) if d[1] == NAMES[donor])  # the smallest, as they came largest first
-            dealt[last][1] = NAMES[i]
-            got_groups[donor] -= 1
-            got_groups[i] += 1
-    if not dealt:
-        return df.select(key, group, F.lit(None).cast("string").alias("split"))
-    table = df.sparkSession.createDataFrame(dealt, f"g {df.schema[group].dataType.simpleString()}, split string")
-    return df.select(key, group).join(F.broadcast(table), F.col(group).eqNullSafe(F.col("g"))).drop("g")  # at most most_groups rows
-
-
-def compositional_split(df: DataFrame, key: str, formula: str = "formula", **how) -> DataFrame:
-    """Whole chemical systems together."""
-    return group_split(df.select(key, chem.chemical_system(F.col(formula)).alias("group")), key, "group", **how)
-
-
-def prototype_split(df: DataFrame, key: str, spacegroup: str = "spacegroup", **how) -> DataFrame:
-    """Whole space groups together; what is no number of one is a group of its own name."""
-    named = F.coalesce(chem.space_group(F.col(spacegroup)).cast("string"), chem.present(F.col(spacegroup)), F.lit("unknown"))
-    return group_split(df.select(key, named.alias("group")), key, "group", **how)
+    system = F.coalesce(F.nullif(chem.chemical_system(F.col(formula)), F.lit("")), F.lit("unknown"))
+    trait = F.col(features).cast("array<double>").alias("trait") if features else F.coalesce(chem.elements(F.col(formula)), F.array().cast("array<string>")).alias("trait")
+    made = df.select(key, system.alias("group"), (F.col(target).cast("double") if target else F.lit(None).cast("double")).alias("target"), trait)
+    return group_split(made, key, "group", target=F.col("target"), trait=F.col("trait"), kind="vectors" if features else "sets", label_weight=label_weight, leakage_weight=leakage_weight, **how)
+
+
+def prototype_split(df: DataFrame, key: str, spacegroup: str = "spacegroup", target: str | None = None, features: str | None = None, label_weight: float = 0.2, leakage_weight: float = 0.2, **how) -> DataFrame:
+    """Whole space groups together; what is no number of one is a group of its own name, similar to none."""
+    number = chem.space_group(F.col(spacegroup))
+    named = F.coalesce(number.cast("string"), chem.present(F.col(spacegroup)), F.lit("unknown"))
+    trait = F.col(features).cast("array<double>") if features else F.when(number.isNotNull(), F.array(number.cast("double"))).otherwise(F.array().cast("array<double>"))
+    made = df.select(key, named.alias("group"), (F.col(target).cast("double") if target else F.lit(None).cast("double")).alias("target"), trait.alias("trait"))
+    return group_split(made, key, "group", target=F.col("target"), trait=F.col("trait"), kind="vectors" if features else "spacegroups", label_weight=label_weight, leakage_weight=leakage_weight, **how)
 
 
 def id_hash(df: DataFrame, key: str, by: list[str], exact: bool = False) -> DataFrame:

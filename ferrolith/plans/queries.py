@@ -416,14 +416,52 @@ def iid_split(spark, sf_dir):
     return splits.iid_split(read(spark, sf_dir, "customer"), "c_custkey")
 
 
-@query()
+def _search_sql(groups: str, similar: str) -> str:
+    """The search of split_search for (group, trait, n, ls, lc, lq) in ``groups``: a row of state for each restart, a group a step."""
+    split = (1, 2, 3)
+    after = lambda c, own, i: f"({c}[{i}] + CASE WHEN t = {i} THEN {own} ELSE 0 END - CASE WHEN src = {i} THEN {own} ELSE 0 END)"
+    square = lambda x: f"(({x}) * ({x}))"
+    size = " + ".join(square(f"({after('sz', 'n', i)} - w[{i}] * nn) / greatest(w[{i}] * nn, 1)") for i in split)
+    number = " + ".join(square(f"({after('gr', '1', i)} - w[{i}] * gg) / greatest(w[{i}] * gg, 1)") for i in split)
+    label = " + ".join(f"CASE WHEN {after('lc', 'c', i)} <= 0 THEN 1.0::DOUBLE ELSE {square(f'({after('ls', 'l', i)} / {after('lc', 'c', i)} - mean) / scale')} END" for i in split)
+    across = lambda s: f"(CASE {s} WHEN 1 THEN 0.5::DOUBLE * near[2] + near[3] WHEN 2 THEN 0.5::DOUBLE * (near[1] + near[3]) WHEN 3 THEN near[1] + 0.5::DOUBLE * near[2] ELSE 0 END)"
+    leak = f"(leak + {across('t')} - {across('src')})"
+    put = lambda c, own: f"[{', '.join(f'{c}[{i}] + CASE WHEN f = {i} THEN {own} ELSE 0 END - CASE WHEN src = {i} THEN {own} ELSE 0 END' for i in split)}]"
+    pick = lambda k: f"CASE WHEN src <> {k} AND cost[{k}] + 1e-12 < l{k - 1} THEN {k} ELSE f{k - 1} END AS f{k}, CASE WHEN src <> {k} AND cost[{k}] + 1e-12 < l{k - 1} THEN cost[{k}] ELSE l{k - 1} END AS l{k}"
+    return f"""WITH RECURSIVE {groups},
+tot AS (SELECT CAST(sum(n) AS DOUBLE) AS nn, CAST(count(*) AS DOUBLE) AS gg, sum(ls) / sum(lc) AS mean, greatest(sqrt(greatest(sum(lq) / sum(lc) - (sum(ls) / sum(lc)) * (sum(ls) / sum(lc)), 1e-12)), 1e-6) AS scale, [0.8::DOUBLE, 0.1::DOUBLE, 0.1::DOUBLE] AS w FROM g),
+o AS (SELECT r, g.*, row_number() OVER (PARTITION BY r ORDER BY n DESC, md5('42:' || r || ':' || "group"), "group") AS k FROM g, range(8) AS t(r)),
+near0 AS (SELECT a.r, a.k, a.n, a.ls AS l, a.lc AS c, list(CASE WHEN a.k = b.k THEN 0.0::DOUBLE ELSE {similar} END ORDER BY b.k) AS sim FROM o a JOIN o b ON a.r = b.r GROUP BY ALL),
+rec AS (SELECT r, 1 AS u, 0 AS pass, FALSE AS moved, FALSE AS done, [0.0::DOUBLE, 0, 0] AS sz, [0.0::DOUBLE, 0, 0] AS gr, [0.0::DOUBLE, 0, 0] AS ls, [0.0::DOUBLE, 0, 0] AS lc, 0.0::DOUBLE AS leak, list_transform(range(CAST(gg AS BIGINT)), lambda x: 0) AS at_, 0.0::DOUBLE AS final FROM range(8) AS t(r), tot
+UNION ALL
+SELECT r, CASE WHEN u = gg THEN 1 ELSE u + 1 END, pass + CASE WHEN u = gg THEN 1 ELSE 0 END, CASE WHEN u = gg THEN FALSE ELSE moved OR f <> src END, u = gg AND pass > 0 AND (pass = 64 OR NOT (moved OR f <> src)),
+{put('sz', 'n')}, {put('gr', '1')}, {put('ls', 'l')}, {put('lc', 'c')}, leak + {across('f')} - {across('src')}, list_transform(at_, lambda x, i: CASE WHEN i = u THEN f ELSE x END), cost[f]
+FROM (SELECT *, CASE WHEN pass > 0 AND gr[src] <= 1 THEN src ELSE f3 END AS f FROM (SELECT *, {pick(3)} FROM (SELECT *, {pick(2)} FROM (SELECT *, {pick(1)} FROM
+(SELECT *, CASE WHEN pass = 0 THEN 1e300 ELSE cost[src] END AS l0, CASE WHEN pass = 0 THEN 0 ELSE src END AS f0 FROM
+(SELECT *, list_transform([1, 2, 3], lambda t: {size} + 0.15::DOUBLE * ({number}) + 0.2::DOUBLE * ({label}) / 3 + 0.2::DOUBLE * {leak} / greatest(gg * (gg - 1) / 2, 1)) AS cost FROM
+(SELECT rec.*, n, l, c, tot.*, at_[u] AS src, [list_sum(list_transform(sim, lambda x, i: CASE WHEN at_[i] = 1 THEN x ELSE 0 END)), list_sum(list_transform(sim, lambda x, i: CASE WHEN at_[i] = 2 THEN x ELSE 0 END)), list_sum(list_transform(sim, lambda x, i: CASE WHEN at_[i] = 3 THEN x ELSE 0 END))] AS near
+FROM rec JOIN near0 ON rec.r = near0.r AND rec.u = near0.k, tot WHERE NOT done)))))))),
+best AS (SELECT r, at_ FROM rec WHERE done ORDER BY round(final, 9), r LIMIT 1),
+dealt AS (SELECT "group", ['train', 'val', 'test'][at_[k]] AS split FROM best JOIN o USING (r))
+SELECT jid, "group", split FROM m JOIN dealt USING ("group")"""
+
+
+_GROUPED = 'g AS (SELECT "group", trait, count(*) AS n, CAST(sum(size) AS DOUBLE) AS ls, CAST(count(size) AS DOUBLE) AS lc, CAST(sum(size * size) AS DOUBLE) AS lq FROM m GROUP BY ALL)'
+
+
+@query(_search_sql(f"""{MATERIALS}, m AS (SELECT jid, size, list_sort(list_distinct([e1, e2])) AS trait, array_to_string(list_sort(list_distinct([e1, e2])), '-') AS "group" FROM materials), {_GROUPED}""",
+"CAST(len(list_intersect(a.trait, b.trait)) AS DOUBLE) / len(list_distinct(list_concat(a.trait, b.trait)))"))
 def compositional_split(spark, sf_dir):
-    return splits.compositional_split(materials(spark, sf_dir), "jid")
+    return splits.compositional_split(materials(spark, sf_dir), "jid", target="size")
 
 
-@query()
+_SYSTEM = "(({0} > 2)::INT + ({0} > 15)::INT + ({0} > 74)::INT + ({0} > 142)::INT + ({0} > 167)::INT + ({0} > 194)::INT)"
+
+
+@query(_search_sql(f"""{MATERIALS}, m AS (SELECT jid, size, CASE WHEN spg_number BETWEEN 1 AND 230 THEN spg_number END AS trait, CAST(spg_number AS VARCHAR) AS "group" FROM materials), {_GROUPED}""",
+f"coalesce(CASE WHEN {_SYSTEM.format('a.trait')} = {_SYSTEM.format('b.trait')} THEN 0.6::DOUBLE ELSE 0 END + 0.4::DOUBLE * greatest(0, 1 - abs(a.trait - b.trait) / 230::DOUBLE), 0)"))
 def prototype_split(spark, sf_dir):
-    return splits.prototype_split(materials(spark, sf_dir), "jid", "spg_number")
+    return splits.prototype_split(materials(spark, sf_dir), "jid", "spg_number", target="size")
 
 
 @query(f"""WITH {_IID}, a AS (SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN pos <= n - 2 * (n // 10) THEN 'train' WHEN pos <= n - n // 10 THEN 'val' ELSE 'test' END AS split FROM k),
