@@ -10,46 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+from ferrolith.operators import nearest
 
 
-def nearest_cosine(df: DataFrame, reference: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
-    """(key, nearest): the highest cosine to a row of the stated reference set other than itself.
-
-    Reference rows are sent in blocks of ``block``, one after another; every row meets every block in numpy.
-    """
-    refs = reference.select(F.col(key).alias("k"), vector).orderBy("k")
-    parts = None
-    chunk: list = []
-    spark = df.sparkSession
-
-    def against(chunk: list) -> DataFrame:
-        ids = np.array([r.k for r in chunk])
-        m = np.array([r[1] for r in chunk], float)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        shared = spark.sparkContext.broadcast((ids, m))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, m = shared.value
-            for b in batches:
-                x = np.array(b[vector].tolist(), float).reshape(len(b), -1)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                c = x @ m.T
-                c[b[key].to_numpy()[:, None] == ids[None]] = -np.inf
-                yield pd.DataFrame({key: b[key], "c": c.max(axis=1)})
-
-        return df.select(key, vector).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, c double")
-
-    for row in refs.toLocalIterator():
-        chunk.append(row)
-        if len(chunk) == block:
-            parts = against(chunk) if parts is None else parts.unionAll(against(chunk))
-            chunk = []
-    if chunk:
-        parts = against(chunk) if parts is None else parts.unionAll(against(chunk))
-    if parts is None:
-        return df.select(key, F.lit(None).cast("double").alias("nearest"))
-    return parts.groupBy(key).agg(F.max("c").alias("nearest"))
+def nearest_cosine(df: DataFrame, reference: DataFrame, key: str, vector: str, block: int = nearest.BLOCK) -> DataFrame:
+    """(key, nearest): the highest cosine to a row of the reference set other than itself; see ``nearest``."""
+    return nearest.nearest(df, reference, key, vector, block).select(key, "nearest")
 
 
 def group_means(df: DataFrame, group: str, vector: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ferrolith.operators import gls, topology
+from ferrolith.operators import density, gls, nearest, topology
+from ferrolith.functions import chem
 from ferrolith.plans.queries import WITH, query, rounded
-from ferrolith.plans.stand_ins import materials
+from ferrolith.plans.stand_ins import ELEMENTS, materials, read
 
 _LOGIT = "(ln(least(greatest({0}, 1e-9), 1 - 1e-9)) - ln(1 - least(greatest({0}, 1e-9), 1 - 1e-9)))"
 
@@ -108,3 +109,37 @@ def gls_sources(spark, sf_dir):
     rows = m.select(F.col("jid").alias("entity"), F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.col(c).alias("value"), F.lit(sd).alias("std")) for s, c, sd in each))).alias("e"), ((F.col("size") % 3) / 5).alias("drift"))
     got = gls.fuse(rows.select("entity", "e.*", "drift"), SOURCES, CORRELATION)
     return rounded(got.select("entity", "mean", "std", "n_eff", F.coalesce(F.try_element_at("weights", F.lit("dft")), F.lit(0.0)).alias("w_dft"), F.coalesce(F.try_element_at("weights", F.lit("mbj")), F.lit(0.0)).alias("w_mbj")), "mean", "std", "n_eff", "w_dft", "w_mbj")
+
+
+_DBSCAN = """n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) <= {0}),
+c AS (SELECT a FROM n GROUP BY a HAVING count(*) >= 5), cc AS (SELECT a, b FROM n WHERE a IN (FROM c) AND b IN (FROM c)),
+r AS (SELECT a, a AS m FROM c UNION SELECT cc.b, r.m FROM r JOIN cc ON r.a = cc.a WHERE r.m < cc.b), k AS (SELECT a, min(m) AS m FROM r GROUP BY a),
+e AS (SELECT n.a, min(m) AS m FROM n JOIN k ON n.b = k.a WHERE n.a NOT IN (FROM c) GROUP BY 1)
+SELECT p.vec_id, coalesce(k.m, e.m) AS cluster, k.m IS NOT NULL AS core FROM p LEFT JOIN k ON p.vec_id = k.a LEFT JOIN e ON p.vec_id = e.a"""
+EPS = 0.02
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT vec_id, [e[1] / sqrt(list_dot_product(e, e)), e[2] / sqrt(list_dot_product(e, e))] AS v FROM x), {_DBSCAN.format(EPS)}""")
+def embedding_density(spark, sf_dir):
+    """Density clusters of the first two coordinates of the unit embeddings."""
+    e = read(spark, sf_dir, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
+    return density.dbscan(e.select("vec_id", F.array(F.get("e", F.lit(0)) / norm, F.get("e", F.lit(1)) / norm).alias("v")), "vec_id", "v", EPS)
+
+
+@query("""WITH RECURSIVE p AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), """ + _DBSCAN.format(1.18))
+def embedding_density_all(spark, sf_dir):
+    """Density clusters in all coordinates."""
+    return density.dbscan(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1.18)
+
+
+_SHARE = "[" + ", ".join(f"(CASE WHEN e1 = '{e}' THEN c1 ELSE 0 END + CASE WHEN e2 = '{e}' THEN c2 ELSE 0 END) / (c1 + c2)" for e in ELEMENTS) + "]"
+
+
+@query(f"""{WITH}, v AS (SELECT jid, part, {_SHARE} AS v FROM materials), n AS (SELECT a.jid, max(list_cosine_similarity(a.v, b.v)) AS s FROM v a JOIN v b ON b.part % 9 = 0 AND b.jid <> a.jid WHERE a.part % 20 = 0 GROUP BY 1)
+SELECT v.jid, round(n.s, 6) AS nearest, round(1 / (1 + exp(-(least(greatest(1 - coalesce(n.s, 0), 0), 1) - 0.35::DOUBLE) / 0.35::DOUBLE)), 6) AS ood_score FROM v LEFT JOIN n USING (jid) WHERE part % 20 = 0""")
+def composition_ood(spark, sf_dir):
+    """How far every twentieth material is from its nearest reference composition."""
+    m = materials(spark, sf_dir).select("jid", "part", chem.fraction_vector(chem.parse_formula(F.col("formula")), ELEMENTS).alias("v"))
+    got = nearest.nearest(m.where("part % 20 = 0"), m.where("part % 9 = 0"), "jid", "v")
+    return rounded(got.withColumn("ood_score", topology.ood_score(F.col("nearest"))), "nearest", "ood_score").select("jid", "nearest", "ood_score")
