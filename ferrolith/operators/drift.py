@@ -113,26 +113,3 @@ def drift(old: DataFrame, new: DataFrame, alpha: float = 0.05, effect: float = 0
     met = q_values(ks).join(wasserstein(old, new, pooled), "property").join(mmd(old, new), "property").join(iqr, "property")
     met = met.withColumn("scaled_wasserstein", F.col("wasserstein") / F.when(F.col("iqr") > 1e-12, F.col("iqr")).otherwise(1.0)).drop("iqr")
     return met.withColumn("alert", (F.col("q_value") <= alpha) & (F.col("scaled_wasserstein") >= effect) & (F.col("mmd2") >= mmd_effect))
-
-
-def energy_distance(x: np.ndarray, y: np.ndarray) -> float:
-    """Of two bounded matrices."""
-    gap = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)).mean()
-    return float(max(2 * gap(x, y) - gap(x, x) - gap(y, y), 0.0))
-
-
-def joint_drift(old: DataFrame, new: DataFrame, properties: list[str], key: str, most: int = 256, permutations: int = 99, seed: int = 0) -> dict[str, float]:
-    """Energy distance of all properties together with a permutation p-value, on ``most`` rows a side by hash."""
-    def matrix(df: DataFrame) -> np.ndarray:
-        return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(most).select(*(F.col(p).cast("double") for p in properties)).toPandas().to_numpy(float)
-
-    x, y = matrix(old), matrix(new)
-    middle = np.nanmedian(x, axis=0)
-    fill = lambda a: np.hstack((np.where(np.isnan(a), middle, a), np.isnan(a).astype(float)))
-    x, y = fill(x), fill(y)
-    spread = x.std(axis=0)
-    kept = spread > 1e-12
-    x, y = (x[:, kept] / spread[kept], y[:, kept] / spread[kept])
-    stat, z, rng = energy_distance(x, y), np.vstack((x, y)), np.random.default_rng(seed)
-    over = sum(energy_distance(z[(p := rng.permutation(len(z)))[: len(x)]], z[p[len(x) :]]) >= stat for _ in range(permutations))
-    return {"energy_distance": stat, "pvalue": (1 + over) / (1 + permutations)}

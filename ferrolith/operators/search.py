@@ -5,11 +5,9 @@ from __future__ import annotations
 import math
 import operator
 import re
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrolith.functions import chem
@@ -137,11 +135,48 @@ def topological(df: DataFrame, threshold: float = 0.5, gap_column: str = "optb88
     return df.where(F.col("spillage") > threshold)
 
 
+def matching(names: DataFrame, query: str, column: str) -> DataFrame:
+    """``names`` with ``ratio``: 2 M / T of the name and ``query``, T letters together and M in matching blocks.
+
+    The longest common block, the first one in the name and then in the query, splits both; what lies
+    before it and behind it is matched likewise. One table of common runs for each name, then a block for
+    each step, all in array functions; no letter counts as junk. Two empty texts have 1.
+    """
+    letters = F.lit(list(query)) if query else F.array().cast("array<string>")
+    out = names.withColumns({"__q": letters, "__n": F.char_length(column)})
+    out = out.withColumn("__a", F.when(F.col("__n") > 0, F.transform(F.sequence(F.lit(1), F.greatest("__n", F.lit(1))), lambda i: F.substring(F.col(column), i, F.lit(1)))).otherwise(F.array().cast("array<string>")))
+    row = "transform(__q, (c, j) -> if(c = x, coalesce(get(get(acc, 0), j + 1), 0) + 1, 0))"
+    out = out.withColumn("__r", F.expr(f"aggregate(reverse(__a), cast(array() as array<array<int>>), (acc, x) -> concat(array({row}), acc))"))
+    kind = "struct<k:int,todo:array<struct<al:int,ah:int,bl:int,bh:int>>>"
+    best = "array_max(flatten(transform(sequence(v.al, v.ah - 1), i -> transform(sequence(v.bl, v.bh - 1), j -> struct(least(get(get(__r, i), j), v.ah - i, v.bh - j) as k, -i as i, -j as j)))))"
+    parts = "filter(array(struct(v.al as al, -b.i as ah, v.bl as bl, -b.j as bh), struct(b.k - b.i as al, v.ah as ah, b.k - b.j as bl, v.bh as bh)), p -> p.al < p.ah and p.bl < p.bh)"
+    step = f"element_at(transform(array(get(s.todo, 0)), v -> element_at(transform(array({best}), b -> named_struct('k', s.k + b.k, 'todo', if(b.k > 0, concat({parts}, slice(s.todo, 2, size(s.todo))), slice(s.todo, 2, size(s.todo))))), 1)), 1)"
+    start = f"cast(named_struct('k', 0, 'todo', if(__n > 0 and size(__q) > 0, array(named_struct('al', 0, 'ah', __n, 'bl', 0, 'bh', size(__q))), array())) as {kind})"
+    blocks = F.expr(f"aggregate(sequence(0, 2 * least(__n, size(__q))), {start}, (s, t) -> cast(if(size(s.todo) = 0, s, {step}) as {kind}), s -> s.k)")
+    whole = F.col("__n") + F.size("__q")
+    return out.withColumn("ratio", F.when(whole > 0, 2.0 * blocks / whole).otherwise(1.0)).drop("__q", "__n", "__a", "__r")
+
+
 def fuzzy(df: DataFrame, query: str, column: str = "formula", cutoff: float = 0.6, k: int = 5) -> DataFrame:
-    """The k distinct names most like ``query`` by the share of matching blocks, at least ``cutoff``."""
-    @F.pandas_udf("double")
-    def ratio(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: SequenceMatcher(None, n or "", query).ratio())
+    """(name, ratio, n) of the names among the ``k`` rows most like ``query``: those of the highest ratio of ``cutoff`` or more.
 
-    named = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return named.withColumn("ratio", ratio(column)).where(F.col("ratio") >= cutoff).orderBy(F.desc("ratio"), column).limit(k)
+    Each row counts, so that a name of ``k`` rows or more leaves no place for lesser ones; equal ratios go
+    by the later name. Names are told apart first, and only those are matched whose length and common
+    letters allow the ratio at all. Blank queries and null names match nothing.
+    """
+    query = query.strip()
+    names = df.select(F.col(column).cast("string").alias(column)).where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    if not query:
+        return names.select(column, F.lit(0.0).alias("ratio"), "n").limit(0)
+    size, m = F.char_length(column), len(query)
+    common = sum((F.least(size - F.char_length(F.replace(F.col(column), F.lit(c), F.lit(""))), F.lit(query.count(c))) for c in sorted(set(query))), F.lit(0))
+    near = names.where((2.0 * F.least(size, F.lit(m)) >= cutoff * (size + m)) & (2.0 * common >= cutoff * (size + m)))
+    best = matching(near, query, column).where(F.col("ratio") >= cutoff).orderBy(F.desc("ratio"), F.desc(column)).limit(k)
+    before = Window.orderBy(F.desc("ratio"), F.desc(column)).rowsBetween(Window.unboundedPreceding, -1)  # over k names at most
+    return best.withColumn("__b", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("__b") < k).select(column, "ratio", "n")
+
+
+def fuzzy_search(df: DataFrame, query: str, column: str = "formula", cutoff: float = 0.6, k: int = 5) -> DataFrame:
+    """All rows of the names that ``fuzzy`` finds."""
+    found = fuzzy(df, query, column, cutoff, k).select(F.col(column).alias("__name"))
+    return df.join(F.broadcast(found), F.col(column) == F.col("__name"), "left_semi")  # k names

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ferrolith.operators import density, gls, nearest, topology
+from ferrolith.operators import density, gls, joint, nearest, topology
 from ferrolith.functions import chem
 from ferrolith.plans.queries import WITH, query, rounded
 from ferrolith.plans.stand_ins import ELEMENTS, materials, read
@@ -143,3 +143,26 @@ def composition_ood(spark, sf_dir):
     m = materials(spark, sf_dir).select("jid", "part", chem.fraction_vector(chem.parse_formula(F.col("formula")), ELEMENTS).alias("v"))
     got = nearest.nearest(m.where("part % 20 = 0"), m.where("part % 9 = 0"), "jid", "v")
     return rounded(got.withColumn("ood_score", topology.ood_score(F.col("nearest"))), "nearest", "ood_score").select("jid", "nearest", "ood_score")
+
+
+_JOINT = ("optb88vdw_bandgap", "ehull", "shear_modulus_gv")
+_TO = [[float(w) for w in v] for v in joint.directions(joint.DIRECTIONS, 4)]
+_Z = "[" + ", ".join(" + ".join(f"f[{i + 1}] * {w!r}::DOUBLE" for i, w in enumerate(v)) for v in _TO) + "]"
+
+
+@query(f"""{WITH}, s AS (SELECT jid, part % 2 AS side, CAST('0x' || substr(md5((part % 2) || ':' || jid), 1, 8) AS BIGINT) AS u, optb88vdw_bandgap AS a, CASE WHEN part % 2 = 1 THEN ehull * 1.5::DOUBLE ELSE ehull END AS b, shear_modulus_gv AS c FROM materials),
+md AS (SELECT median(a) AS ma FROM s), r AS (SELECT side, u, coalesce(a, ma) AS a, b, c, CASE WHEN a IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS i FROM s, md),
+m1 AS (SELECT median(a) AS ma, median(b) AS mb, median(c) AS mc, median(i) AS mi, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc, stddev_pop(i) AS si FROM r),
+m2 AS (SELECT 1.4826::DOUBLE * median(abs(a - ma)) AS ka, 1.4826::DOUBLE * median(abs(b - mb)) AS kb, 1.4826::DOUBLE * median(abs(c - mc)) AS kc, 1.4826::DOUBLE * median(abs(i - mi)) AS ki FROM r, m1),
+z AS (SELECT side, u, [(a - ma) / CASE WHEN ka > 1e-8 THEN ka ELSE sa END, (b - mb) / CASE WHEN kb > 1e-8 THEN kb ELSE sb END, (c - mc) / CASE WHEN kc > 1e-8 THEN kc ELSE sc END, (i - mi) / CASE WHEN ki > 1e-8 THEN ki ELSE si END] AS f FROM r, m1, m2),
+n AS (SELECT count(*) AS n, count(*) FILTER (side = 0) AS o FROM z), k AS (SELECT side, u, k, zs[k] AS z FROM (SELECT side, u, {_Z} AS zs FROM z), range(1, {joint.DIRECTIONS + 1}) AS q(k)),
+b AS (SELECT * FROM (SELECT unnest(range(1, 100)) AS b, unnest({joint.multipliers(99).tolist()}) AS x) UNION ALL SELECT 0, 0),
+l AS (SELECT k, b, z, lead(z) OVER w - z AS gap, sum(old) OVER w AS c, row_number() OVER w AS i FROM (SELECT k, b, z, u, side, CASE WHEN b = 0 THEN (side = 0)::INT ELSE ((CAST(u AS HUGEINT) * x) % 4294967296 < floor(o * 4294967296.0::DOUBLE / n))::INT END AS old FROM k, b, n) WINDOW w AS (PARTITION BY k, b ORDER BY z, u, side)),
+t AS (SELECT k, b, max(c) AS o, max(i) AS n FROM l GROUP BY 1, 2), h AS (SELECT k, b, any_value(o) AS o, any_value(n) AS n, sum(gap * (f * (1 - g) + g * (1 - f))) AS x, sum(gap * 2 * f * (1 - f)) AS y, sum(gap * 2 * g * (1 - g)) AS v FROM (SELECT l.*, o, n, c / o AS f, (i - c) / (n - o) AS g FROM l JOIN t USING (k, b)) GROUP BY 1, 2),
+d AS (SELECT b, greatest({joint.spread(4)!r}::DOUBLE * avg(2 * x - y * o / (o - 1) - v * (n - o) / (n - o - 1)), 0) AS d FROM h GROUP BY 1), d0 AS (SELECT d AS e FROM d WHERE b = 0)
+SELECT any_value(n.o) AS n_old, any_value(n.n - n.o) AS n_new, 4 AS n_features, round(any_value(e), 6) AS energy_distance, (1 + count(*) FILTER (b > 0 AND d >= e - 1e-12)) / 100 AS pvalue, (1 + count(*) FILTER (b > 0 AND d >= e - 1e-12)) <= 5 AND any_value(e) >= 0.2 AS alert FROM d, d0, n""")
+def joint_drift(spark, sf_dir):
+    """All rows of two halves: energy distance of three properties together, and its permutation test."""
+    m = materials(spark, sf_dir)
+    old, new = m.where("part % 2 = 0"), m.where("part % 2 = 1").withColumn("ehull", F.col("ehull") * 1.5)
+    return rounded(joint.joint_drift(old, new, list(_JOINT), "jid", permutations=99).drop("reason"), "energy_distance")

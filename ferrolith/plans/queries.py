@@ -591,9 +591,18 @@ def ood_scores(spark, sf_dir):
     return rounded(quality.ood(m, m.where("label = 0"), ["ehull", "density", "spillage"]).select("jid", "ood"), "ood")
 
 
-@query()
+@query(f"""WITH RECURSIVE {MATERIALS}, names AS (SELECT formula AS name, count(*) AS n, length(formula) AS la FROM materials GROUP BY ALL), q AS (SELECT 'Fe2SiO3' AS q, 7 AS lb),
+eq AS (SELECT name, i, j FROM (SELECT name, unnest(range(la)) AS i FROM names), (SELECT unnest(range(lb)) AS j FROM q), q WHERE substring(name, i + 1, 1) = substring(q, j + 1, 1)),
+isl AS (SELECT *, i - row_number() OVER (PARTITION BY name, j - i ORDER BY i) AS g FROM eq), run AS (SELECT name, i, j, max(i) OVER (PARTITION BY name, j - i, g) - i + 1 AS k FROM isl),
+iv AS (SELECT name, 0::BIGINT AS al, la::BIGINT AS ah, 0::BIGINT AS bl, lb::BIGINT AS bh, 0::BIGINT AS k FROM names, q UNION ALL
+SELECT name, unnest([al, i + k]), unnest([i, ah]), unnest([bl, j + k]), unnest([j, bh]), unnest([k, 0]) FROM
+(SELECT iv.name, al, ah, bl, bh, i, j, least(run.k, ah - i, bh - j) AS k FROM iv JOIN run ON iv.name = run.name AND i >= al AND i < ah AND j >= bl AND j < bh QUALIFY row_number() OVER (PARTITION BY iv.name, al, ah, bl, bh ORDER BY least(run.k, ah - i, bh - j) DESC, i, j) = 1)),
+r AS (SELECT name, 2.0::DOUBLE * sum(k) / (la + lb) AS ratio, n FROM iv JOIN names USING (name), q GROUP BY name, la, lb, n),
+b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY ratio DESC, name DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM r WHERE ratio >= 0.5)
+SELECT name AS formula, round(ratio, 6) AS ratio, n FROM b WHERE b < 40""")
 def fuzzy_search(spark, sf_dir):
-    return search.fuzzy(materials(spark, sf_dir), "Fe2O3")
+    """The formulas of the 40 materials most like one that isn't there."""
+    return rounded(search.fuzzy(materials(spark, sf_dir), "Fe2SiO3", cutoff=0.5, k=40), "ratio")
 
 
 @query(f"""{WITH}, c AS (SELECT jid, 1 / (1 + exp(-(ehull * 10 - 1))) AS p, 0.8::DOUBLE * 0.8::DOUBLE AS w FROM materials UNION ALL SELECT jid, 1 / (1 + exp(-((spillage - 0.5) / 0.1::DOUBLE))), 0.9::DOUBLE * 0.9::DOUBLE FROM materials

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrolith.functions import chem, numeric
-from ferrolith.operators import acquisition, drift, fusion, metrics, ordered, pareto, physics, quality, search, similarity, splits
+from ferrolith.operators import acquisition, drift, fusion, joint, metrics, ordered, pareto, physics, quality, search, similarity, splits
 from ferrolith.sources import readers, writers
 
 
@@ -113,7 +113,7 @@ def test_drift(spark):
     q = drift.q_values(spark.createDataFrame([("a", 0.001), ("b", 0.02), ("c", 0.9)], "property string, ks_pvalue double")).orderBy("ks_pvalue").collect()
     assert [r.q_value for r in q] == pytest.approx([0.003, 0.03, 0.9])
     t = spark.range(300).select("id", F.col("id").cast("double").alias("u"), F.when(F.col("id") % 3 > 0, F.col("id") * 2.0).alias("v"))
-    assert drift.joint_drift(t, t.withColumn("u", F.col("u") + 500), ["u", "v"], "id", permutations=19)["pvalue"] <= 0.05
+    assert one(joint.joint_drift(t, t.withColumn("u", F.col("u") + 500), ["u", "v"], "id", permutations=19)).pvalue <= 0.05
 
 
 def test_trust_and_outliers(spark):
