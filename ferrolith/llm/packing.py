@@ -26,8 +26,9 @@ doc_id and text are read, so that other columns' names can't clash.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from typing import NamedTuple
 from zlib import crc32
 
@@ -42,8 +43,12 @@ from ferrolith.llm._words import slices, split_words
 
 LENGTH = 4096
 END = 1
-#: Words whose ids a task keeps, and the longest word kept.
-KEPT_WORDS, KEPT_BYTES = 200_000, 64
+#: Words, and ids of them, that a worker keeps before it begins anew.
+KEPT_WORDS, KEPT_IDS = 600_000, 10_000_000
+#: Words that the tokenizer gets at a time.
+PARTED = 1_000
+#: Words of letters of ASCII and Latin-1, and punctuation that may end a word.
+LATIN, TAILS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"), b".,;:!?"
 #: Classes by j up to here, then by halves, and below a 64th of a sequence by eighths.
 FINE = 8
 #: A sweep over the gaps there are is worth while if they could take one in so many of the pieces left.
@@ -53,9 +58,13 @@ RANGE_ROWS = 200_000
 
 
 class Tokens:
-    """Ids of texts by a tokenizer that never joins what white space parts: each distinct word is encoded once.
+    """Ids of texts, by the whole or, for a tokenizer to which white space only parts words, each distinct word once.
 
-    Texts that hold a special token's string are encoded whole, since that string is told before words are.
+    What a tokenizer does to white space, case, punctuation and ends of words is tried when it is loaded.
+    Where letters and the punctuation behind them are coded apart, a word ends there too. Words of Latin
+    letters, which are one token or end with one that ends a word, go to the tokenizer in one text; other
+    words go in a text parted by a special token, which is told before words are. Texts that hold a
+    special token's string are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,46 +72,82 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content.encode() for t in added.values()]
+        parting = [(i, t.content) for i, t in added.items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        ids = lambda *texts: [i for x in self.whole(list(texts)) for i in x.tolist()]
+        self.by_words = bool(parting) and all(ids(x) == ids("ab", "cd") for x in ("ab cd", "\t ab\ncd\x0b\x0c\r", "ab  cd "))
+        self.mark, self.parting = parting[0] if parting else (None, "")
+        self.lower = ids("Ab CD Éc Çà") == ids("ab cd Éc Çà")
+        self.tails = TAILS if all(ids(f"ab{c}{x}cd") == ids("ab", f"{c}{x}cd") for c in TAILS.decode() for x in ("", " ", "'", "5", "é", ".", "\u0301")) else b""
+        words = [w for w, _ in sorted(self.tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1])]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.array([bool(suffix) and w.endswith(suffix) for w in words] + [False] * len(added))
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def encoded(self, words: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def parted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, and how many each has."""
+        (ids,) = self.whole([self.parting.join(w.decode() for w in words)])
+        ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+        return ids[ids != self.mark], np.diff(ends, prepend=-1) - 1
+
+    def spaced(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are told by tokens that end words."""
+        (ids,) = self.whole([b" ".join(words).decode()])
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != len(words) or len(ids) != ends[-1] + 1:
+            return self.parted(words)
+        return ids, np.diff(ends, prepend=-1)
+
+    def learn(self, words: list[bytes]) -> None:
+        latin = [bool(LATIN.fullmatch(w)) for w in words] if self.ends.any() else [False] * len(words)
+        flat, sizes = [self.flat], [self.sizes]
+        for how, some in ((self.spaced, [w for w, x in zip(words, latin, strict=True) if x]), (self.parted, [w for w, x in zip(words, latin, strict=True) if not x])):
+            for s in range(0, len(some), PARTED):
+                ids, each = how(some[s : s + PARTED])
+                assert len(each) == len(some[s : s + PARTED])
+                flat.append(ids)
+                sizes.append(each)
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+        self.flat, self.sizes = np.concatenate(flat), np.concatenate(sizes)
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; nulls are empty."""
         raw = texts.cast(pa.large_binary()).to_pylist()
+        if not self.by_words:
+            return self.whole([(t or b"").decode() for t in raw])
         whole = [i for i, t in enumerate(raw) if t and any(s in t for s in self.special)]
         if whole:
             texts = pa.array([b"" if i in set(whole) else t for i, t in enumerate(raw)], pa.large_binary())
-        words = split_words(texts, b" \t\n\x0b\x0c\r")
-        if len(self.known) > KEPT_WORDS:
+        words = split_words(texts, b" \t\n\x0b\x0c\r", lower=self.lower, tails=self.tails)
+        if len(self.known) > KEPT_WORDS or len(self.flat) > KEPT_IDS:
             self.clear()
-        new = [w for w in words.values if w not in self.known]
-        for w, ids in zip(new, self.encoded(new), strict=True):
-            self.known[w] = len(self.ids)
-            self.ids.append(ids)
-        own = [self.ids[self.known[w]] for w in words.values]
-        for w in new:  # rare and long ones aren't kept
-            if len(w) > KEPT_BYTES:
-                self.ids[self.known.pop(w)] = np.zeros(0, np.uint32)
-        sizes = np.array([len(x) for x in own], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        flat = np.concatenate([*own, np.zeros(0, np.uint32)])
-        each = sizes[words.codes]
+        self.learn([w for w in words.values if w not in self.known])
+        own = np.fromiter(map(self.known.__getitem__, words.values), np.int64, len(words.values))
+        each = self.sizes[own][words.codes]
+        begins = (np.cumsum(self.sizes) - self.sizes)[own][words.codes]
         ends = np.cumsum(each)
-        every = flat[np.repeat(begins[words.codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        every = self.flat[np.repeat(begins - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
         last = np.searchsorted(words.rows, np.arange(len(texts)), "right")
         out = np.split(every, np.append(0, ends)[last][:-1]) if len(texts) else []
-        for i, ids in zip(whole, self.encoded([raw[i] for i in whole]), strict=True):
+        for i, ids in zip(whole, self.whole([raw[i].decode() for i in whole]), strict=True):
             out[i] = ids
         return out
 
 
+@lru_cache(1)
+def _tokens(path: str) -> Tokens:
+    """One for each worker process: it takes as long to load as some megabytes to encode."""
+    return Tokens(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
     """Rows (row, doc_id, piece, start, length, ids_crc32), and ``ids`` as little-endian unsigned 32-bit numbers if asked for.
 
@@ -111,7 +156,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer)
+        tokens = _tokens(tokenizer)
         for b in slices(batches, "text"):
             at, piece, start, size, crc, raw = [], [], [], [], [], []
             for i, ids in enumerate(tokens(b.column("text"))):
