@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from ferrolith.llm import near, simhash
 
 
@@ -55,6 +57,33 @@ def test_a_large_group_of_near_copies_is_one(spark):
     assert near.keep_one(docs).count() == len(set(groups(texts)))
 
 
+def boilerplate_pairs(n, seed=11):
+    """``n`` pairs of similarity 0.9 around one passage that makes different pairs alike, but below 0.8."""
+    rng = random.Random(seed)
+    shared = [f"s{i}" for i in range(340)]
+    texts = []
+    for i in range(n):
+        own = [f"p{i}x{k}" for k in range(60)]
+        base = shared + own
+        other = list(base)
+        for k in rng.sample(range(len(base)), 4):
+            other[k] = f"y{i}x{k}"
+        texts += [" ".join(base), " ".join(other)]
+    return texts
+
+
+@pytest.mark.parametrize(("nodes", "width"), [(512, 8192), (20, 64)])
+def test_pairs_around_one_passage_are_all_found(spark, monkeypatch, nodes, width):
+    monkeypatch.setattr(near, "TILE_NODES", nodes)
+    monkeypatch.setattr(near, "WIDTH", width)
+    texts = boilerplate_pairs(120)
+    assert 0.6 < jaccard(texts[0], texts[2]) < 0.8 < jaccard(texts[0], texts[1])
+    got = near.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    roots = {r.doc_id: r.root for r in got}
+    want = groups(texts)
+    assert len(set(roots.values())) == len(set(want)) and all(roots[i] == roots[w] for i, w in enumerate(want))
+
+
 def test_a_row_of_each_text_of_an_id_and_null_ids_stay(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     docs = spark.createDataFrame([(5, a), (5, b), (3, b), (None, c), (None, c), (7, a.replace("a0 ", "z "))], "doc_id long, text string")
