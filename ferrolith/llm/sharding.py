@@ -1,7 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
 Rows of equal text are a group and stay in one shard, unless the group alone passes a shard's share
-of bytes, tokens or rows; then it is split by a hash of its rows. Groups of some weight (over a
+of bytes, tokens or rows; then it is split by a hash of its ids, and of its rows where an id repeats. Groups of some weight (over a
 64th of a shard in any of the three, so at most 3 * 64 * shards of them) are placed one by one; all
 others are bundled by a hash of their text into ``bundles`` bundles. The driver sees the vectors of
 these bounded units alone. Heaviest first, a unit goes where the dot product of its vector with the
@@ -46,8 +46,9 @@ def place(vectors: np.ndarray, shards: int = SHARDS, wide: float = WIDE, near: f
 def assign(documents: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> DataFrame:
     """(doc_id, size, tokens, text_crc32, text_md5, shard, slot) of every row.
 
-    A null text is as an empty one (size 1). Repeated rows get slots of their own; an empty table
-    gives no rows.
+    A null text is as an empty one (size 1). Repeated rows get slots of their own, and are split among
+    shards where they are many; an empty table gives no rows. Only doc_id and text are read, so that
+    other columns' names can't clash.
     """
     spark = documents.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -63,7 +64,12 @@ def assign(documents: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -
         table.append((g.text_md5, i, over > 1, min(4096, math.ceil(over * bundles / shards / 8)) if g.r > 1 else 1))
     big = spark.createDataFrame(table, "big_md5 string, big int, apart boolean, pieces int")
     rows = rows.join(F.broadcast(big), F.col("text_md5") == F.col("big_md5"), "left")
-    piece = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("pieces")).cast("int")
+    # ids decide the piece; rows of one that alone has much of a piece are told apart by their place in the written table
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    often = rows.where("apart").groupBy("text_md5", "doc_id").agg(*sums).where(" or ".join(f"{c} > {x / 64}" for c, x in zip("btr", fair, strict=True)))
+    often = F.broadcast(often.select(F.col("text_md5").alias("o_md5"), F.col("doc_id").alias("o_id"), F.lit(True).alias("often")))  # at most 3 * 64 * shards
+    rows = rows.join(often, (F.col("text_md5") == F.col("o_md5")) & F.col("doc_id").eqNullSafe(F.col("o_id")), "left")
+    piece = F.pmod(F.when(F.col("often"), F.xxhash64("doc_id", F.lit(3), "place")).otherwise(F.xxhash64("doc_id", F.lit(3))), F.col("pieces")).cast("int")
     unit = F.when(F.col("big").isNull(), F.struct(F.lit(-1).alias("big"), F.pmod(F.xxhash64("text_md5"), F.lit(bundles)).cast("int").alias("piece"))).otherwise(F.struct("big", piece.alias("piece")))
     rows = rows.withColumn("unit", unit)
     units = rows.groupBy("unit").agg(*sums).select("unit.*", "b", "t", "r").orderBy("big", "piece").collect()  # bundles and pieces

@@ -211,3 +211,14 @@ def test_spelling_odd(spark):
     assert got["basements"].form == "casements" and got["basement"].root == "casements" and got["casementz"].root == "casements"
     assert got["casements"].form is None and got["casements"].n_near == 4
     assert spelling.variants(spelling.vocabulary(docs.limit(0))).count() == 0
+
+
+def test_sharding_splits_rows_that_repeat(spark):
+    from ferrolith.llm import sharding
+
+    hot = spark.range(1000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text " * 20).alias("text"))
+    rest = spark.range(1000).select((F.col("id") + 10).alias("doc_id"), F.concat(F.lit("text "), F.repeat(F.lit("w "), (F.col("id") % 90).cast("int")), "id").alias("text"))
+    rows = sharding.assign(hot.unionAll(rest).withColumn("place", F.lit("p"))).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    assert sum(r.n for r in rows) == 2000 and len(rows) == 16 and all(r.last == r.n - 1 for r in rows)
+    mean = sum(r.b for r in rows) / 16
+    assert max(abs(r.b / mean - 1) for r in rows) < 0.05 and max(abs(r.n / 125 - 1) for r in rows) < 0.25
