@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.functions.numeric import finite, normal_cdf, normal_pdf
+from ferrolith.functions.numeric import finite, log_gamma, normal_cdf, normal_pdf
 from ferrolith.operators.ordered import average_ranks, cumulative, cut
 
 
@@ -114,3 +114,23 @@ def ensemble(members: DataFrame, keys: list[str], value: str) -> DataFrame:
     v = F.col(value).cast("double")
     safe = F.when(v.isNull() | F.isnan(v), 0.0).when(F.abs(v) == math.inf, F.signum(v) * 1e6).otherwise(v)
     return members.withColumn("__v", safe).groupBy(*keys).agg(F.avg("__v").alias("mean"), F.stddev_pop("__v").alias("std"))
+
+
+def evidential_loss(df: DataFrame, target: str, gamma: str = "gamma", nu: str = "nu", alpha: str = "alpha", beta: str = "beta", coeff: float = 0.01) -> DataFrame:
+    """One row: n, nll, regularizer and loss, means over the rows; 0 without any.
+
+    The negative log-likelihood of a normal-inverse-gamma prediction and ``coeff`` times the error weighed
+    by its evidence, 2 nu + alpha. Rows with a null, a value that is not finite, or nu, alpha or beta of 0
+    or less don't count.
+    """
+    y, m, v, a, b = (F.col(c).cast("double") for c in (target, gamma, nu, alpha, beta))
+    ok = F.lit(True)
+    for c in (y, m, v, a, b):
+        ok = ok & (F.abs(c) < math.inf)
+    for c in (v, a, b):
+        ok = ok & (c > 0)
+    error = F.abs(y - m)
+    nll = 0.5 * F.ln(math.pi / v) - a * F.ln(2 * b) + (a + 0.5) * F.ln(v * error * error + 2 * b) + log_gamma(a) - log_gamma(a + 0.5)
+    rows = df.where(ok).select(nll.alias("nll"), (error * (2 * v + a)).alias("reg"))
+    mean = lambda x: F.coalesce(F.avg(x), F.lit(0.0))
+    return rows.agg(F.count("*").alias("n"), mean("nll").alias("nll"), mean("reg").alias("regularizer"), mean(F.col("nll") + coeff * F.col("reg")).alias("loss"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ferrolith.operators import density, gls, joint, nearest, topology
+from ferrolith.operators import density, gls, joint, metrics, nearest, tensors, topology
 from ferrolith.functions import chem
 from ferrolith.plans.queries import WITH, query, rounded
 from ferrolith.plans.stand_ins import ELEMENTS, materials, read
@@ -166,3 +166,38 @@ def joint_drift(spark, sf_dir):
     m = materials(spark, sf_dir)
     old, new = m.where("part % 2 = 0"), m.where("part % 2 = 1").withColumn("ehull", F.col("ehull") * 1.5)
     return rounded(joint.joint_drift(old, new, list(_JOINT), "jid", permutations=99).drop("reason"), "energy_distance")
+
+
+def _eigen(c: str) -> str:
+    """Eigenvalues of the SQL list ``c`` of a, b, c, d, e, f (diagonal, then below it): the same trigonometric solution."""
+    return f"""(SELECT CASE WHEN p > 0 THEN [q + 2 * p * cos(phi + 2 * pi() / 3), 3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2 * pi() / 3)), q + 2 * p * cos(phi)] ELSE [q, q, q] END FROM (SELECT q, p, acos(least(greatest(det / (2 * p * p * p), -1), 1)) / 3 AS phi FROM
+(SELECT q, p, (a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e) AS det FROM (SELECT *, sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (c - q) * (c - q) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM
+(SELECT {c}[1] AS a, {c}[2] AS b, {c}[3] AS c, {c}[4] AS d, {c}[5] AS e, {c}[6] AS f, ({c}[1] + {c}[2] + {c}[3]) / 3 AS q)))))"""
+
+
+@query(f"""{WITH}, t AS (SELECT jid, [bulk_modulus_kv, shear_modulus_gv, density, spillage * 9, ehull, formation_energy_peratom] AS t, [bulk_modulus_kv * 1.1::DOUBLE, shear_modulus_gv + size % 5, density, spillage * 9, ehull + 1, formation_energy_peratom] AS p, 0.5::DOUBLE AS up FROM materials),
+e AS (SELECT jid, {_eigen('t')} AS et, {_eigen('p')} AS ep, t, p, up FROM t)
+SELECT jid, round(et[1], 5) AS least, round(et[3], 5) AS most, round(sqrt((p[1] - t[1]) ** 2 + (p[2] - t[2]) ** 2 + (p[3] - t[3]) ** 2 + (p[4] + up - t[4]) ** 2 + (p[4] - t[4]) ** 2 + 2 * (p[5] - t[5]) ** 2), 5) AS frobenius,
+round(2 * up / 9, 5) AS asymmetry, CASE WHEN et[2] - et[1] > 1e-6 AND et[3] - et[2] > 1e-6 AND ep[2] - ep[1] > 1e-6 AND ep[3] - ep[2] > 1e-6 THEN 1.0::DOUBLE END AS agreement FROM e""")
+def tensor_eigenvalues(spark, sf_dir):
+    """Eigenvalues and errors of a predicted tensor of each material."""
+    m = materials(spark, sf_dir)
+    side = lambda a, b, c, d, e, f, up: F.array(F.array(a, d + up, e), F.array(d, b, f), F.array(e, f, c))
+    a, b, c, d, e, f = (F.col("bulk_modulus_kv"), F.col("shear_modulus_gv"), F.col("density"), F.col("spillage") * 9, F.col("ehull"), F.col("formation_energy_peratom"))
+    m = m.select("jid", side(a, b, c, d, e, f, F.lit(0.0)).alias("t"), side(a * 1.1, b + F.col("size") % 5, c, d, e + 1, f, F.lit(0.5)).alias("p"))
+    scored = tensors.with_agreement(m, "t", "p")
+    t, p = tensors.entries(F.col("t")), tensors.entries(F.col("p"))
+    gap = F.sqrt(sum(((t[i][j] - p[i][j]) * (t[i][j] - p[i][j]) for i in tensors.AXES for j in tensors.AXES), F.lit(0.0)))
+    skew = sum((F.abs(p[i][j] - p[j][i]) for i in tensors.AXES for j in tensors.AXES), F.lit(0.0)) / 9
+    values = tensors.eigenvalues(F.col("t"))
+    got = scored.select("jid", F.get(values, F.lit(0)).alias("least"), F.get(values, F.lit(2)).alias("most"), gap.alias("frobenius"), skew.alias("asymmetry"), "agreement")
+    return got.withColumns({n: F.round(n, 5) for n in ("least", "most", "frobenius", "asymmetry")})
+
+
+@query(f"""{WITH}, r AS (SELECT abs(shear_modulus_gv / 10 - spillage * 9) AS e, ehull + 0.01::DOUBLE AS v, 1 + poisson + size % 40 AS a, density AS b FROM materials WHERE density > 0),
+l AS (SELECT 0.5::DOUBLE * ln(pi() / v) - a * ln(2 * b) + (a + 0.5::DOUBLE) * ln(v * e * e + 2 * b) + lgamma(a) - lgamma(a + 0.5::DOUBLE) AS nll, e * (2 * v + a) AS reg FROM r)
+SELECT count(*) AS n, round(avg(nll), 6) AS nll, round(avg(reg), 6) AS regularizer, round(avg(nll + 0.01::DOUBLE * reg), 6) AS loss FROM l""")
+def evidential_loss(spark, sf_dir):
+    """The evidential loss of all materials."""
+    m = materials(spark, sf_dir).select((F.col("shear_modulus_gv") / 10).alias("y"), (F.col("spillage") * 9).alias("gamma"), (F.col("ehull") + 0.01).alias("nu"), (1 + F.col("poisson") + F.col("size") % 40).alias("alpha"), F.col("density").alias("beta"))
+    return rounded(metrics.evidential_loss(m, "y"), "nll", "regularizer", "loss")
