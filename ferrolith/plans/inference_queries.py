@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ferrolith.operators import density, gls, joint, metrics, nearest, tensors, topology
+from ferrolith.operators import density, gls, joint, metrics, nearest, splits, tensors, topology, validation
 from ferrolith.functions import chem
 from ferrolith.plans.queries import WITH, query, rounded
 from ferrolith.plans.stand_ins import ELEMENTS, materials, read
@@ -201,3 +201,33 @@ def evidential_loss(spark, sf_dir):
     """The evidential loss of all materials."""
     m = materials(spark, sf_dir).select((F.col("shear_modulus_gv") / 10).alias("y"), (F.col("spillage") * 9).alias("gamma"), (F.col("ehull") + 0.01).alias("nu"), (1 + F.col("poisson") + F.col("size") % 40).alias("alpha"), F.col("density").alias("beta"))
     return rounded(metrics.evidential_loss(m, "y"), "nll", "regularizer", "loss")
+
+
+_UNITS = {"density": ["g/cm3"], "ehull": ["ev/atom"]}
+_UNIT = "CASE WHEN size % 9 = 0 THEN ' KG/m3 ' WHEN size % 2 = 0 THEN 'g/cm3' END"
+
+
+def _checked(spark, sf_dir):
+    return materials(spark, sf_dir).withColumn("density_unit", F.when(F.col("size") % 9 == 0, " KG/m3 ").when(F.col("size") % 2 == 0, "g/cm3")).withColumn("jid", F.when(F.col("part") % 50 == 0, "M1").otherwise(F.col("jid")))
+
+
+@query(f"""{WITH} SELECT jid, 'schema' AS "check", 'hse_gap' AS field, NULL::VARCHAR AS found FROM materials WHERE hse_gap IS NULL UNION ALL SELECT jid, 'provenance', 'provenance_type', NULL FROM materials WHERE provenance_type IS NULL
+UNION ALL SELECT jid, 'unit', 'density', 'kg/m3' FROM materials WHERE size % 9 = 0""")
+def dataset_violations(spark, sf_dir):
+    """Every fault of every row, from one scan."""
+    m = materials(spark, sf_dir).withColumn("density_unit", F.when(F.col("size") % 9 == 0, " KG/m3 ").when(F.col("size") % 2 == 0, "g/cm3"))
+    return validation.violations(m, required=("jid", "hse_gap"), units=_UNITS)
+
+
+@query(f"""{WITH}, c AS (SELECT * REPLACE (CASE WHEN part % 50 = 0 THEN 'M1' ELSE jid END AS jid) FROM materials), n AS (SELECT count(*) AS n, count(DISTINCT jid) AS d, count(*) FILTER (hse_gap IS NULL) AS s, count(*) FILTER (provenance_type IS NULL) AS p, count(*) FILTER (size % 9 = 0) AS u, avg(shear_modulus_gv) AS m, stddev_pop(shear_modulus_gv) AS sd FROM c),
+x AS (SELECT shear_modulus_gv AS v, row_number() OVER (ORDER BY shear_modulus_gv) - 1 AS i, count(*) OVER () // 2 AS h FROM c), md AS (SELECT v AS m FROM x WHERE i = h), y AS (SELECT abs(v - m) AS d, row_number() OVER (ORDER BY abs(v - m)) - 1 AS i, h FROM x, md), mad AS (SELECT d AS k FROM y WHERE i = h),
+o AS (SELECT count(*) AS o FROM y, mad WHERE d > 5 * 1.4826::DOUBLE * CASE WHEN k = 0 THEN 1e-10 ELSE k END)
+SELECT n AS n_samples, s AS schema_violations, p AS provenance_missing, u AS unit_violations, n - d AS duplicate_count, 0::BIGINT AS leakage_count, o AS outlier_count, round(m, 6) AS shear_modulus_gv_mean, round(sd, 6) AS shear_modulus_gv_std, round(abs(m - 50) / 10, 6) AS shift,
+array_to_string(list_filter([CASE WHEN s > 0 THEN 'schema_violations=' || s END, CASE WHEN p > 0 THEN 'provenance_missing=' || p END, CASE WHEN u > 0 THEN 'unit_violations=' || u END, CASE WHEN n > d THEN 'duplicate_count=' || (n - d) END, CASE WHEN o > 0 THEN 'outlier_count=' || o END], lambda x: x IS NOT NULL), ';') AS gate_failures, s + p + u + n - d + o = 0 AS gate_pass FROM n, o""")
+def dataset_report(spark, sf_dir):
+    """The whole validation of a table in strict mode, with a split that doesn't leak."""
+    m = _checked(spark, sf_dir)
+    assigned = splits.iid_split(m.select("jid").distinct(), "jid")
+    got = validation.validate_dataset(m, properties=("shear_modulus_gv",), required=("jid", "hse_gap"), units=_UNITS, assigned=assigned, baseline_summary={"shear_modulus_gv": {"mean": 50.0, "std": 10.0}}, strict=True)
+    got = got.withColumns({"shift": F.col("drift_summary")["shear_modulus_gv"], "gate_failures": F.array_join("gate_failures", ";")})
+    return rounded(got, "shear_modulus_gv_mean", "shear_modulus_gv_std", "shift").select("n_samples", "schema_violations", "provenance_missing", "unit_violations", "duplicate_count", "leakage_count", "outlier_count", "shear_modulus_gv_mean", "shear_modulus_gv_std", "shift", "gate_failures", "gate_pass")
