@@ -2,8 +2,8 @@
 
 Documents are tokenized once, in Arrow batches; texts over ``length`` tokens are cut into pieces. A full
 piece is a sequence of its own, and so is at first one of over half a sequence; what is left free in a
-sequence is its gap. All other pieces are placed class by class, longest first: of the pieces of a class
-(``length`` / (j+1), ``length`` / j] just j fit an empty sequence. A class takes sweeps until it is placed:
+sequence is its gap. All other pieces are placed class by class of length, longest first. A class takes
+sweeps until it is placed:
 
 1. pieces and gaps are range-sorted together by size, descending;
 2. each piece looks for its successor, the smallest gap that is no smaller. Inside a range tasks match
@@ -49,8 +49,8 @@ KEPT_WORDS, KEPT_IDS = 600_000, 10_000_000
 PARTED = 1_000
 #: Words of letters of ASCII and Latin-1, and punctuation that may end a word.
 LATIN, TAILS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"), b".,;:!?"
-#: Classes by j up to here, then by halves, and below a 64th of a sequence by eighths.
-FINE = 8
+#: Classes of pieces end at these parts of a sequence.
+CLASSES = (2, 3, 4, 6, 12, 48)
 #: A sweep over the gaps there are is worth while if they could take one in so many of the pieces left.
 WORTH = 8
 #: Rows of a range of a sweep.
@@ -178,11 +178,16 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
+PLACED, ALONE, GAP, ENDS = range(4)
+
+
 def _matched(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """One range, sorted: pieces (gap = false) get the ``bin`` of the gap that they close, or their rank among those that close none.
+    """One range, sorted, as rows of four kinds.
 
-    Gaps that stay open come back with how many pieces they still take (``slots``) and their ``rank``: how
-    many slots lie between them and the range's end.
+    PLACED: a piece with the ``bin`` whose gap it closes. ALONE: one that closes none, with its ``rank``
+    among these. GAP: what is left of a gap, how many pieces it still takes (``slots``), how many slots lie
+    between it and the range's end (``rank``) and whether it took one (``bin``: 1 or 0). ENDS: one row,
+    how many pieces are alone (``id``) and how many slots open (``size``).
     """
     part = TaskContext.get().partitionId()
     ids, sizes, gaps = [], [], []
@@ -194,25 +199,24 @@ def _matched(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         return
     ids, sizes, gaps = np.concatenate(ids), np.concatenate(sizes), np.concatenate(gaps).astype(bool)
     slots = np.where(gaps, np.maximum(sizes // most, 1), 0)
-    bins, rank, left = np.full(len(ids), -1), np.zeros(len(ids), np.int64), slots.copy()
-    open_, alone = [], 0
+    owner, left, open_ = np.full(len(ids), -1), slots.copy(), []
     for i in range(len(ids)) if not gaps.all() else ():
         if gaps[i]:
             open_.append(i)
         elif open_:
             g = open_[-1]
-            bins[i] = g
+            owner[i] = g
             left[g] -= 1
             if not left[g]:
                 open_.pop()
-        else:
-            rank[i] = alone
-            alone += 1
-    after = np.cumsum(left[::-1])[::-1]
-    rank = np.where(gaps, after - left, rank)
-    found = bins >= 0
-    owner = pa.array(ids[np.maximum(bins, 0)], mask=~found)
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(gaps), owner, pa.array(left), pa.array(rank), pa.array(np.full(len(ids), part, np.int32))], ["id", "size", "gap", "bin", "slots", "rank", "part"])
+    placed = owner >= 0
+    alone = ~gaps & ~placed
+    sizes_left = sizes - np.bincount(owner[placed], sizes[placed], len(ids)).astype(np.int64)
+    rank = np.where(gaps, np.cumsum(left[::-1])[::-1] - left, np.cumsum(alone) - 1)
+    kind = np.where(gaps, GAP, np.where(placed, PLACED, ALONE))
+    bins = np.where(gaps, left < slots, ids[np.maximum(owner, 0)])
+    cols = [np.append(ids, alone.sum()), np.append(np.where(gaps, sizes_left, sizes), left.sum()), np.append(kind, ENDS), np.append(bins, 0), np.append(left, 0), np.append(rank, 0), np.full(len(ids) + 1, part)]
+    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["id", "size", "kind", "bin", "slots", "rank", "part"])
 
 
 class Sweep(NamedTuple):
@@ -231,8 +235,8 @@ def sweep(todo: DataFrame, gaps: DataFrame, most: int, rows: int) -> Sweep:
     both = todo.select("id", "size", F.lit(False).alias("gap")).unionAll(gaps.select("id", "size", F.lit(True).alias("gap")))
     order = [F.desc("size"), F.desc("gap"), F.xxhash64("id"), F.col("id")]
     ranged = both.repartitionByRange(max(1, rows // RANGE_ROWS), *order).sortWithinPartitions(*order)
-    found = saved(ranged.mapInArrow(lambda it: _matched(it, most), "id long, size long, gap boolean, bin long, slots long, rank long, part int"))
-    ends = found.groupBy("part").agg(F.count_if(~F.col("gap") & F.col("bin").isNull()).alias("closed"), F.sum("slots").alias("open")).orderBy("part").collect()
+    found = saved(ranged.mapInArrow(lambda it: _matched(it, most), "id long, size long, kind long, bin long, slots long, rank long, part long"))
+    ends = sorted((r.part, r.id, r.size) for r in found.where(F.col("kind") == ENDS).collect())
     open_, shares = [], []  # ranges settle by ranks: a row for each range, and at most two shares for each
     for part, closed, free in ends:
         at = 0
@@ -246,40 +250,36 @@ def sweep(todo: DataFrame, gaps: DataFrame, most: int, rows: int) -> Sweep:
                 open_.pop()
         if free:
             open_.append((part, 0, free))
-    placed = found.where(~F.col("gap") & F.col("bin").isNotNull()).select("id", "size", "bin")
-    alone = found.where(~F.col("gap") & F.col("bin").isNull()).select("id", "size", "part", "rank")
-    spark = todo.sparkSession
+    placed = found.where(F.col("kind") == PLACED).select("id", "size", "bin")
+    alone = found.where(F.col("kind") == ALONE).select("id", "size", "part", "rank")
+    gaps = found.where(F.col("kind") == GAP).select("id", "size", (F.col("bin") == 1).alias("took"))
+    spark, rest = todo.sparkSession, alone.select("id", "size")
     if shares:
-        table = F.broadcast(spark.createDataFrame(shares, "part int, low long, high long, g int, plus long"))
-        alone = alone.join(table, (alone["part"] == table["part"]) & (alone["rank"] >= F.col("low")) & (alone["rank"] < F.col("high")), "left")
-        alone = alone.select("id", "size", "g", (alone["rank"] + F.col("plus")).alias("slot"))
-        used = {}
+        table = F.broadcast(spark.createDataFrame(shares, "in long, low long, high long, g long, plus long"))
+        alone = alone.join(table, (F.col("part") == F.col("in")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), "left")
+        alone = alone.select("id", "size", "g", (F.col("rank") + F.col("plus")).alias("slot"))
+        used: dict[int, int] = {}
         for _, low, high, g, plus in shares:
             used[g] = max(used.get(g, 0), high + plus)
-        last = F.broadcast(spark.createDataFrame(list(used.items()), "g int, used long"))
-        taking = found.where(F.col("gap") & (F.col("slots") > 0)).join(last, F.col("part") == F.col("g")).where("rank < used")
+        last = F.broadcast(spark.createDataFrame(list(used.items()), "g long, used long"))
+        taking = found.where((F.col("kind") == GAP) & (F.col("slots") > 0)).join(last, F.col("part") == F.col("g")).where("rank < used")
         taking = taking.select(F.col("id").alias("bin"), "g", F.explode(F.sequence("rank", F.least(F.col("rank") + F.col("slots"), F.col("used")) - 1)).alias("slot"))
         settled = saved(alone.join(taking, ["g", "slot"], "left").select("id", "size", "bin"))
-        placed = placed.unionAll(settled.where("bin is not null"))
-        rest = settled.where("bin is null").select("id", "size")
-    else:
-        rest = alone.select("id", "size")
-    filled = placed.groupBy(F.col("bin").alias("id")).agg(F.sum("size").alias("filled"))
-    gaps = saved(found.where("gap").select("id", "size").join(filled, "id", "left").select("id", (F.col("size") - F.coalesce("filled", F.lit(0))).alias("size"), F.col("filled").isNotNull().alias("took")))
+        across = settled.where("bin is not null")
+        placed, rest = placed.unionAll(across), settled.where("bin is null").select("id", "size")
+        less = across.select(F.col("bin").alias("id"), (-F.col("size")).alias("size"), F.lit(True).alias("took"))
+        gaps = saved(gaps.unionAll(less).groupBy("id").agg(F.sum("size").alias("size"), F.max("took").alias("took")))
     left = gaps.where("size > 0").select("id", "size")
-    n = sum(e["closed"] for e in ends) - sum(high - low for _, low, high, _, _ in shares)
+    n = sum(closed for _, closed, _ in ends) - sum(high - low for _, low, high, _, _ in shares)
     if not n:
         return Sweep(placed, left, rest, 0, 0, 0, 0, 0)
     tokens, least, longest = rest.agg(F.sum("size"), F.min("size"), F.max("size")).first()
     return Sweep(placed, left, rest, n, tokens, least, longest, gaps.where(F.col("took") & (F.col("size") >= least)).count())
 
 
-def classes(length: int, fine: int = FINE) -> list[tuple[int, int]]:
+def classes(length: int) -> list[tuple[int, int]]:
     """(low, high] of the classes below half a sequence, longest first."""
-    cuts = [length // j for j in range(2, fine + 1)]
-    while cuts[-1] > 1:
-        cuts.append(cuts[-1] // (2 if cuts[-1] > length // 64 else 8))
-    cuts = sorted({c for c in cuts if c > 0}, reverse=True)
+    cuts = sorted({length // j for j in CLASSES} - {0}, reverse=True)
     return [(low, high) for high, low in zip(cuts, [*cuts[1:], 0], strict=True)]
 
 
