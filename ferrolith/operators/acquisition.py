@@ -80,14 +80,17 @@ def acquire(name: str, mean: Column, std: Column, best: Column | float = 0.0, ma
     return {"ucb": sign * mean + kappa * std, "lcb": sign * mean - kappa * std, "mean": sign * mean, "uncertainty": std, "thompson": sign * mean + std * F.randn(seed)}[kind]
 
 
-def kappa(step: int, mode: str = "fixed", start: float = 2.0, end: float = 0.5, total: int = 20, dims: int = 4, delta: float = 0.1) -> float:
-    """Fixed, geometric annealing, or the Gaussian-process bound's growth."""
+def kappa(iteration: int, mode: str = "fixed", base: float = 2.0, floor: float = 1.0, decay: float = 0.08, dims: int = 1, delta: float = 0.1) -> float:
+    """The weight of the spread at an iteration from 1 on: fixed, decaying to ``floor``, or growing as the regret bound of a Gaussian process asks."""
+    t = max(1, iteration)
+    if mode == "fixed":
+        return max(base, 0.0)
     if mode == "anneal":
-        return start * (end / start) ** min(max(step / max(total - 1, 1), 0), 1)
+        return floor + (max(base, floor) - floor) * math.exp(-max(decay, 0.0) * (t - 1))
     if mode == "gp_ucb":
-        t = step + 1
-        return math.sqrt(2 * math.log(dims * t * t * math.pi**2 / (6 * delta)))
-    return start
+        bound = 2 * ((max(dims, 1) / 2 + 2) * math.log(t) + math.log(math.pi**2 / (3 * min(max(delta, 1e-12), 1 - 1e-12))))
+        return max(floor, math.sqrt(max(bound, 1e-12)))
+    raise ValueError(f"no schedule named {mode!r}")
 
 
 def composite(topology: Column, stability: Column, heuristic: Column, novelty: Column, ood: Column | None = None) -> Column:

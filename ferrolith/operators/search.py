@@ -36,12 +36,15 @@ def search(df: DataFrame, criteria: dict, sort_by: str | None = None, ascending:
     return out.limit(limit if isinstance(limit, int) and limit > 0 else 50)
 
 
-PRESETS = {"metal": (None, 0.5), "semiconductor": (0.5, 3.0), "insulator": (3.0, None)}
+PRESETS = {"semiconductor": (0.5, 3.0), "insulator": (3.0, None)}
 
 
 def build_criteria(preset: str | None = None, ehull_max: float | None = 0.1, ductile: bool = False, gap: str = "bandgap_best", **ranges) -> dict:
-    """Criteria from a preset class, a stability bound, a flag and ranges; bounds of one column are intersected."""
-    out = {gap: PRESETS[preset]} if preset else {}
+    """Criteria from a preset class, a stability bound, a flag and ranges; bounds of one column are intersected.
+
+    The preset ``metal`` asks for that conductivity class, the others for a range of the gap.
+    """
+    out = {"conductivity_class": "metal"} if preset == "metal" else {gap: PRESETS[preset]} if preset else {}
     if ehull_max is not None:
         out["ehull"] = (None, ehull_max)
     for name, bounds in ranges.items():

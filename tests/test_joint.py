@@ -1,12 +1,13 @@
-"""Joint drift and fuzzy search against plain Python."""
+"""Joint drift, fuzzy search and schedules against plain Python."""
 
+import math
 from difflib import SequenceMatcher, get_close_matches
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ferrolith.operators import joint, search
+from ferrolith.operators import acquisition, joint, search
 
 
 def energy(x, y):
@@ -88,3 +89,11 @@ def test_fuzzy(spark, query, cutoff, k):
     assert {r.formula for r in search.fuzzy(df, query, cutoff=cutoff, k=k).collect()} == want
     assert sorted(r.id for r in search.fuzzy_search(df, query, cutoff=cutoff, k=k).collect()) == [i for i, n in enumerate(NAMES) if n in want]
     assert search.fuzzy(df, " ").count() == 0 and search.fuzzy(df.limit(0), query).count() == 0
+
+
+def test_kappa_schedules():
+    k = acquisition.kappa
+    assert k(7) == 2.0 and k(1, "anneal") == 2.0 and k(11, "anneal") == pytest.approx(1 + math.exp(-0.8)) and k(3, "anneal", base=0.5) == 1.0
+    assert k(5, "gp_ucb", dims=4) == pytest.approx(math.sqrt(2 * math.log(5**4 * math.pi**2 / 0.3))) and k(0, "gp_ucb", delta=0.999999, floor=9.0) == 9.0
+    with pytest.raises(ValueError):
+        k(1, "other")

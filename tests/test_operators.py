@@ -95,7 +95,8 @@ def test_search_rejects(properties):
         search.check_columns(properties, ["density", "nothing"])
     assert search.search(properties, {"density": (None, 3.0)}, "density", limit=0).count() == 2
     assert search.filled_columns(properties, ["hse_gap", "nothing"]) == ["hse_gap"]
-    assert search.build_criteria("metal", bandgap_best=(0.1, None))["bandgap_best"] == (0.1, 0.5)
+    assert search.build_criteria("insulator", bandgap_best=(0.1, 5.0))["bandgap_best"] == (3.0, 5.0)
+    assert search.build_criteria("metal", bandgap_best=(0.1, None)) == {"conductivity_class": "metal", "ehull": (None, 0.1), "bandgap_best": (0.1, None)}
 
 
 def test_drift(spark):
