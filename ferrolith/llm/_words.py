@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time; a longer text is worked on alone.
-SLICE = 4_000_000
+SLICE = 2_000_000
 _LOWER = bytes(range(256)).lower()  # A-Z alone, as it is for bytes
 
 
