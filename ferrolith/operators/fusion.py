@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrolith.functions import chem
-from ferrolith.functions.numeric import clip, normal_cdf, sigmoid
+from ferrolith.functions.numeric import clip, let, normal_cdf, sigmoid, total
 
 CLASSES = ("metal", "semimetal", "semiconductor", "insulator")
 CUTS = (0.01, 0.5, 3.0)
@@ -42,34 +42,44 @@ def disagreement(values: list[Column], mean: Column) -> Column:
 
 
 def gap_columns(df: DataFrame, sigmas: tuple = (0.12, 0.20, 0.35), slope: float = 0.35, correlation: float = 0.25) -> DataFrame:
-    """bandgap_best, bandgap_fused, bandgap_fused_std and bandgap_method_count from three gap columns and a formula."""
+    """bandgap_best, bandgap_fused, bandgap_fused_std and bandgap_method_count from three gap columns and a formula.
+
+    All that is fused is one struct whose inputs are named once, so that filters on what follows stay small.
+    """
     names = ("hse_gap", "mbj_bandgap", "optb88vdw_bandgap")
-    values = [F.col(c) for c in names]
-    best = F.coalesce(*values)
-    out = df.withColumn("bandgap_best", F.when(best >= 0, best)).withColumn("__scale", 1 + slope * chem.complexity(chem.parse_formula(F.col("formula"))))
-    mean, sigma, m = precision_fusion(values, [F.lit(s) * F.col("__scale") for s in sigmas], correlation)
-    out = out.withColumns({"bandgap_fused": mean, "__sigma": sigma, "bandgap_method_count": m})
-    wide = F.sqrt(F.col("__sigma") * F.col("__sigma") + F.pow(disagreement(values, F.col("bandgap_fused")), F.lit(2)))
-    return out.withColumn("bandgap_fused_std", wide).drop("__scale", "__sigma")
+    best = F.coalesce(*map(F.col, names))
+    scale = 1 + slope * chem.complexity(chem.parse_formula(F.col("formula")))
+
+    def fused(r: Column) -> Column:
+        values = [r[n] for n in names]
+        mean, sigma, m = precision_fusion(values, [F.lit(s) * r["k"] for s in sigmas], correlation)
+        wide = lambda f: F.sqrt(f["sigma"] * f["sigma"] + F.pow(disagreement(values, f["mean"]), F.lit(2)))
+        return let(F.struct(mean.alias("mean"), sigma.alias("sigma"), m.alias("m")), lambda f: F.struct(f["mean"].alias("mean"), wide(f).alias("std"), f["m"].alias("m")))
+
+    out = df.withColumns({"bandgap_best": F.when(best >= 0, best), "__fused": let(F.struct(*names, scale.alias("k")), fused)})
+    return out.withColumns({"bandgap_fused": F.col("__fused.mean"), "bandgap_fused_std": F.col("__fused.std"), "bandgap_method_count": F.col("__fused.m")}).drop("__fused")
 
 
 def class_columns(df: DataFrame, temperature: float = 1.0, default_sigma: float = 0.35) -> DataFrame:
-    """Chances of the four conductivity classes, their entropy over ln 4, the confidence and the class."""
+    """Chances of the four conductivity classes, their entropy over ln 4, the confidence and the class.
+
+    Each step names the one before it once, so that a filter on the class, which the optimizer moves below
+    these columns, stays of bounded size.
+    """
     mu = F.coalesce("bandgap_fused", "bandgap_best")
     sigma = F.greatest(F.coalesce(F.col("bandgap_fused_std"), F.lit(default_sigma)) * temperature, F.lit(1e-8))
-    out = df.withColumns({f"__c{i}": normal_cdf((c - mu) / sigma) for i, c in enumerate(CUTS)})
-    edges = [F.lit(0.0), *(F.col(f"__c{i}") for i in range(3)), F.lit(1.0)]
-    known = mu.isNotNull()
-    out = out.withColumns({f"__p{i}": clip(edges[i + 1] - edges[i], 0, 1) for i in range(4)})
-    whole = reduce(lambda a, b: a + b, (F.col(f"__p{i}") for i in range(4)))
-    out = out.withColumns({f"p_{c}": F.when(known, F.try_divide(F.col(f"__p{i}"), whole)) for i, c in enumerate(CLASSES)})
-    ps = [F.col(f"p_{c}") for c in CLASSES]
-    entropy = reduce(lambda a, b: a + b, (F.when(p > 0, -p * F.ln(F.greatest(p, F.lit(1e-12)))).otherwise(0.0) for p in ps)) / math.log(4)
-    label = F.lit(CLASSES[-1])
-    for c in reversed(CLASSES[:-1]):  # the first of equal chances wins
-        label = F.when(F.col(f"p_{c}") >= F.greatest(*ps), F.lit(c)).otherwise(label)
-    out = out.withColumns({"conductivity_confidence": F.greatest(*ps), "conductivity_entropy": F.when(known, entropy), "conductivity_class": F.when(known, label).otherwise("unknown")})
-    return out.drop(*(f"__c{i}" for i in range(3)), *(f"__p{i}" for i in range(4)))
+    at = lambda f, i: F.get(f, F.lit(i))
+    below = lambda v: F.array(*(normal_cdf((c - v["m"]) / v["s"]) for c in CUTS))
+    between = lambda f: F.array(clip(at(f, 0), 0, 1), clip(at(f, 1) - at(f, 0), 0, 1), clip(at(f, 2) - at(f, 1), 0, 1), clip(1 - at(f, 2), 0, 1))
+    shares = lambda p: F.transform(p, lambda x: F.try_divide(x, total(p)))
+    chances = let(F.struct(mu.alias("m"), sigma.alias("s")), lambda v: let(below(v), lambda f: let(between(f), shares)))
+    out = df.withColumns({"__k": mu.isNotNull(), "__p": chances})
+    known, ps = F.col("__k"), F.col("__p")
+    entropy = total(F.transform(ps, lambda p: F.when(p > 0, -p * F.ln(F.greatest(p, F.lit(1e-12)))).otherwise(0.0))) / math.log(4)
+    label = let(ps, lambda p: F.get(F.array(*map(F.lit, CLASSES)), F.array_position(p, F.array_max(p)).cast("int") - 1))  # the first of equal chances wins
+    made = {f"p_{c}": F.when(known, at(ps, i)) for i, c in enumerate(CLASSES)}
+    made |= {"conductivity_confidence": F.when(known, F.array_max(ps)), "conductivity_entropy": F.when(known, entropy), "conductivity_class": F.when(known, label).otherwise("unknown")}
+    return out.withColumns(made).drop("__k", "__p")
 
 
 def evidence_channels(df: DataFrame) -> DataFrame:

@@ -326,6 +326,13 @@ def elastic_derived(spark, sf_dir):
     return t.select("jid", r6(F.col("youngs_modulus"), 5).alias("youngs_modulus"), r6(F.col("pugh_ratio")).alias("pugh_ratio"), "is_ductile", r6(F.col("hardness_chen"), 5).alias("hardness_chen"))
 
 
+@query(f"""{WITH}, {FUSED}, {CLASSED} SELECT jid, formula, conductivity_class, ehull FROM classed WHERE ehull <= 0.2 AND conductivity_class = 'insulator' ORDER BY jid LIMIT 50""")
+def search_by_class(spark, sf_dir):
+    """The first 50 of a conductivity class."""
+    table = fusion.class_columns(fusion.gap_columns(materials(spark, sf_dir)))
+    return search.search(table, search.build_criteria(ehull_max=0.2) | {"conductivity_class": "insulator"}, "jid", limit=50).select("jid", "formula", "conductivity_class", "ehull")
+
+
 _EI_Z = "((spillage - 0.5) / greatest(ehull, 1e-9))"
 
 
