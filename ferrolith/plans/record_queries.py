@@ -112,8 +112,11 @@ def topological_by_gap(spark, sf_dir):
     return search.topological(materials(spark, sf_dir).drop("spillage"), most_gap=2.8).select("jid")
 
 
-@query("""SELECT * FROM (VALUES ('ehull', 0.5::DOUBLE, 2.0::DOUBLE), ('density', 7.0::DOUBLE, 1.0::DOUBLE)) t(property, mean, std)""")
+@query("""SELECT p_brand, 'p_size' AS property, round(avg(p_size), 6) AS mean, round(stddev_pop(p_size), 6) AS std FROM part GROUP BY 1 UNION ALL
+SELECT p_brand, 'p_partkey', round(avg(p_partkey), 6), round(stddev_pop(p_partkey), 6) FROM part GROUP BY 1""")
 def baseline_report(spark, sf_dir):
-    report = '{"details": {"property_summary": {"ehull": {"mean": 0.5, "std": 2}, "density": {"mean": 7.0, "std": 1.0}}}}'
-    one = spark.range(1).select(records.baseline_summary(F.lit(report)).alias("s"))
-    return one.select(F.explode("s").alias("property", "m")).select("property", F.col("m")["mean"].alias("mean"), F.col("m")["std"].alias("std"))
+    """The summaries of JSON reports, one for each brand."""
+    said = F.struct(*(F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in ("p_size", "p_partkey")))
+    reports = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.to_json(F.struct(F.struct(said.alias("property_summary")).alias("details"))).alias("report"))
+    each = reports.select("p_brand", F.explode(records.baseline_summary(F.col("report"))).alias("property", "m"))
+    return each.select("p_brand", "property", F.round(F.col("m")["mean"], 6).alias("mean"), F.round(F.col("m")["std"], 6).alias("std"))
