@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrolith.functions import chem
-from ferrolith.operators import fusion, records, search
-from ferrolith.plans.queries import _PROPS, FUSED, WITH, query, rounded
+from ferrolith.operators import fusion, records, search, splits
+from ferrolith.plans.queries import _IID, _PROPS, FUSED, WITH, query, rounded
 from ferrolith.plans.stand_ins import materials, phi, read
 
 
@@ -120,3 +120,34 @@ def baseline_report(spark, sf_dir):
     reports = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.to_json(F.struct(F.struct(said.alias("property_summary")).alias("details"))).alias("report"))
     each = reports.select("p_brand", F.explode(records.baseline_summary(F.col("report"))).alias("property", "m"))
     return each.select("p_brand", "property", F.round(F.col("m")["mean"], 6).alias("mean"), F.round(F.col("m")["std"], 6).alias("std"))
+
+
+@query(f"WITH {_IID} SELECT c_custkey, c_nationkey FROM customer JOIN k USING (c_custkey) WHERE pos > n - n // 10")
+def attached_split(spark, sf_dir):
+    """The rows of one split."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return splits.attach(c, splits.iid_split(c, "c_custkey"), "c_custkey", "test")
+
+
+_SOURCES = f"""{WITH}, s AS (SELECT source_key, CASE min(size) % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'partial' ELSE 'none' END AS coverage, 1.0::DOUBLE + count(*) AS alpha, 1.0::DOUBLE + sum(label) AS beta, avg(size) / 100 AS drift_distance FROM materials GROUP BY 1)"""
+
+
+def _sources(spark, sf_dir):
+    m = materials(spark, sf_dir).groupBy("source_key").agg(F.min("size").alias("k"), (1.0 + F.count("*")).alias("alpha"), (1.0 + F.sum("label")).alias("beta"), (F.avg("size") / 100).alias("drift_distance"))
+    return m.withColumn("coverage", F.when(F.col("k") % 3 == 0, "full").when(F.col("k") % 3 == 1, "partial").otherwise("none")).drop("k")
+
+
+@query(f"""{_SOURCES}, c AS (SELECT source_key, CASE coverage WHEN 'full' THEN 1.0::DOUBLE WHEN 'partial' THEN 0.6::DOUBLE ELSE 0.2::DOUBLE END * alpha / (alpha + beta) * exp(-drift_distance) AS score FROM s)
+SELECT source_key, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, source_key) AS INTEGER) AS rank FROM c""")
+def source_ranking(spark, sf_dir):
+    """Sources by coverage, reliability and drift."""
+    return rounded(fusion.source_scores(_sources(spark, sf_dir)).select("source_key", "score", "rank"), "score")
+
+
+@query(f"""{WITH}, o AS (SELECT source_key AS channel, sum(1 - abs(spillage - label)) AS da, sum(abs(spillage - label)) AS db FROM materials WHERE part % 3 = 0 GROUP BY 1), a AS (SELECT source_key AS channel, 1.0::DOUBLE + count(*) AS alpha, 1.0::DOUBLE + sum(label) AS beta FROM materials GROUP BY 1)
+SELECT channel, round(alpha + coalesce(da, 0), 6) AS alpha, round(beta + coalesce(db, 0), 6) AS beta FROM a LEFT JOIN o USING (channel)""")
+def reliability_update(spark, sf_dir):
+    """Beta counts of sources after a third of the rows was checked."""
+    checked = materials(spark, sf_dir).where("part % 3 = 0").select(F.col("source_key").alias("channel"), F.col("spillage").alias("p"), "label")
+    state = _sources(spark, sf_dir).select(F.col("source_key").alias("channel"), "alpha", "beta")
+    return rounded(fusion.update_reliability(state, checked), "alpha", "beta")
