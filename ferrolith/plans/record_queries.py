@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ferrolith.functions import chem
-from ferrolith.operators import fusion, records, search, splits
+from ferrolith.functions import chem, numeric
+from ferrolith.operators import fusion, metrics, physics, records, search, splits
 from ferrolith.plans.queries import _IID, _PROPS, FUSED, WITH, query, rounded
 from ferrolith.plans.stand_ins import materials, phi, read
 
@@ -151,3 +151,49 @@ def reliability_update(spark, sf_dir):
     checked = materials(spark, sf_dir).where("part % 3 = 0").select(F.col("source_key").alias("channel"), F.col("spillage").alias("p"), "label")
     state = _sources(spark, sf_dir).select(F.col("source_key").alias("channel"), "alpha", "beta")
     return rounded(fusion.update_reliability(state, checked), "alpha", "beta")
+
+
+@query("""WITH l AS (SELECT o_orderpriority AS k, o_totalprice / 100000 AS x FROM orders)
+SELECT k, round(max(x) + ln(avg(exp(2 * x)) / exp(2 * max(x))) / 2, 6) AS risk FROM l GROUP BY 1""")
+def entropic_risk(spark, sf_dir):
+    """The entropic risk of prices by priority."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("k"), (F.col("o_totalprice") / 100000).alias("x"))
+    return rounded(o.groupBy("k").agg(numeric.entropic_risk(F.col("x"), 2.0).alias("risk")), "risk")
+
+
+@query(f"""{WITH}, v AS (SELECT jid, [c1, c2, spillage] AS v FROM materials), n AS (SELECT jid, v, sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]) AS n, [x * x / list_sum([y * y FOR y IN v]) FOR x IN v] AS e FROM v)
+SELECT jid, round(v[1] / n, 6) AS l2, round(e[1], 6) AS escort, round(exp(v[1] - list_max(v)) / list_sum([exp(y - list_max(v)) FOR y IN v]), 6) AS softmax, round((v[1] * v[3] + v[2] * v[2] + v[3] * v[1]) / (n * n), 6) AS cosine,
+round(list_sum([exp(-pow((v[3] * 5 - c * 5 / 19.0::DOUBLE) / (5 / 19.0::DOUBLE), 2)) FOR c IN range(20)]), 6) AS basis FROM n""")
+def vector_functions(spark, sf_dir):
+    """Column functions of vectors: lengths, shares, powers of shares, cosines, a basis."""
+    v = materials(spark, sf_dir).select("jid", F.array((F.regexp_extract("formula", r"^[A-Z][a-z]?([0-9]+)", 1)).cast("double"), F.regexp_extract("formula", r"([0-9]+)$", 1).cast("double"), "spillage").alias("v"))
+    unit = numeric.l2_normalize(F.col("v"))
+    first = lambda c: F.get(c, F.lit(0))
+    got = v.select("jid", first(unit).alias("l2"), first(numeric.escort(F.col("v"), 2.0)).alias("escort"), first(numeric.softmax(F.col("v"))).alias("softmax"), numeric.dot(unit, F.reverse(unit)).alias("cosine"), numeric.total(numeric.gaussian_basis(F.get("v", F.lit(2)) * 5)).alias("basis"))
+    return rounded(got, "l2", "escort", "softmax", "cosine", "basis")
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 5 <> 0 THEN l_quantity END AS q FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(q / sum(q) OVER (PARTITION BY l_orderkey), 6) AS fraction FROM p WHERE q > 0""")
+def phase_fractions(spark, sf_dir):
+    """Positive fractions of each order's lines."""
+    p = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 5 != 0, F.col("l_quantity").cast("double")).alias("fraction"))
+    return rounded(physics.normalize_phases(p, ["l_orderkey"]), "fraction")
+
+
+@query("""WITH s AS (SELECT l_suppkey AS k, l_partkey AS x, avg(l_extendedprice)::DOUBLE AS y FROM lineitem GROUP BY 1, 2), w AS (SELECT k, x, y, lead(x) OVER q AS nx, lead(y) OVER q AS ny FROM s WINDOW q AS (PARTITION BY k ORDER BY x))
+SELECT k, round(min(x + (30000 - y) * (nx - x) / (ny - y)), 4) AS crossing FROM w WHERE (y - 30000) * (ny - 30000) <= 0 AND y <> ny GROUP BY 1""")
+def level_crossings(spark, sf_dir):
+    """Where the prices of each supplier's parts first pass a level."""
+    c = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("x")).agg(F.avg("l_extendedprice").cast("double").alias("y"))
+    return physics.crossings(c, ["k"], "x", "y", 30000.0).withColumn("crossing", F.round("crossing", 4))
+
+
+@query("""WITH f AS (SELECT c_nationkey, count(*) AS n_valid, avg(c_acctbal)::DOUBLE AS mae, CASE WHEN c_nationkey % 4 <> 0 THEN stddev_pop(c_acctbal)::DOUBLE END AS spread FROM customer GROUP BY 1),
+l AS (SELECT 'mae' AS metric, mae AS v, n_valid FROM f UNION ALL SELECT 'spread', spread, n_valid FROM f)
+SELECT metric, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, round(sum(v * n_valid) / sum(n_valid), 4) AS weighted_mean FROM l WHERE v IS NOT NULL GROUP BY 1""")
+def fold_summaries(spark, sf_dir):
+    """Metrics over folds, a nation each."""
+    f = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n_valid"), F.avg("c_acctbal").cast("double").alias("mae"), F.stddev_pop("c_acctbal").alias("s"))
+    folds = f.withColumn("spread", F.when(F.col("c_nationkey") % 4 != 0, F.col("s")))
+    return metrics.fold_summary(folds, ["mae", "spread"]).withColumns({c: F.round(c, 4) for c in ("mean", "std", "weighted_mean")})
