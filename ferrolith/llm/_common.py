@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark deletes the shuffles and, where it is told to, the checkpoints that nothing reads any more.
+
+    Loops of many small jobs fill disks otherwise, as the driver's own heap hardly grows.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a few numbers each that a join may broadcast; beyond that it shuffles.
 MOST_BROADCAST = 200_000
 
