@@ -57,6 +57,23 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def remove_saved(*tables: DataFrame) -> None:
+    """Delete what ``saved`` wrote, once nothing reads it any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a few numbers each that are worth a task, and tasks of such a table, at least.
+ROWS_A_TASK, LEAST_TASKS = 100_000, 8
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows of a few numbers each, in partitions that are worth a task and its files."""
+    return df.coalesce(max(LEAST_TASKS, rows // ROWS_A_TASK))
+
+
 #: Rows of a few numbers each that a join may broadcast; beyond that it shuffles.
 MOST_BROADCAST = 200_000
 
@@ -112,17 +129,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     without an edge are left out. Each round is cut, so that no plan grows and lost executors cost
     one round. A hub joins its one minimum, so its rows may be split among tasks.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark = None
+    first = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    now, n, mark = cut(first), 0, None
     for _ in range(most_rounds):
+        n = n or now.count()
+        now = few(now, n)
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = few(few(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), n).distinct(), n)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = cut(small.where("a <> b").distinct())
+        now = cut(few(few(small.where("a <> b"), n).distinct(), n))
         new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if new == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = new
+        mark, n = new, new[0]
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

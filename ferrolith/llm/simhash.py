@@ -48,9 +48,14 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         starts = np.concatenate(([0], ends[: n - shingle] + 1)).tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(said[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of ``hashes``."""
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), CHUNK):
-        some = np.array(hashes[i : i + CHUNK], "<u8").view(np.uint8).reshape(-1, 8)
+        some = hashes[i : i + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist())
 

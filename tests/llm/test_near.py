@@ -96,3 +96,32 @@ def test_simhash_keeps_a_row_of_each_component(spark):
     assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [(3, b), (5, a)]
     docs = spark.createDataFrame([(5, a), (5, b)], "doc_id long, text string")
     assert simhash.keep_one(docs).count() == 2
+
+
+def test_what_the_bands_miss_fingerprints_find(spark, monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(near, "band_keys", lambda found: [hash(tuple(found.tolist())) >> 1])  # no two nodes meet
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(1500)) for _ in range(6)]
+    texts = base + [t + " end" for t in base]
+    roots = {r.doc_id: r.root for r in near.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(roots.values())) == 6 and all(roots[i] == roots[i + 6] for i in range(6))
+
+
+def test_jobs_and_tasks_are_bounded(spark):
+    texts = boilerplate_pairs(60)
+    for seed in range(30):  # chains: neighbours alike, ends not
+        rng = random.Random(seed)
+        w = [f"c{seed}x{i}" for i in range(200)]
+        for k in range(12):
+            w[rng.randrange(200)] = f"d{seed}x{k}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("near", "near")
+    got = {r.doc_id: r.root for r in near.near_duplicates(docs).collect()}
+    jobs = tracker.getJobIdsForGroup("near")
+    spark.sparkContext.setJobGroup("", "")
+    print("jobs", len(jobs))
+    assert len(jobs) < 200
+    want = groups(texts)
+    assert len(set(got.values())) == len(set(want)) and all(got[i] == got[w] for i, w in enumerate(want))
