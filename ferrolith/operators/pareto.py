@@ -6,6 +6,7 @@ is compared. Only that second, far smaller set meets in one place, where it is c
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from ferrolith.operators.ordered import cut
 
 BLOCK = 512
+#: Rows that are ranked together in a task: of one task's own, and of all tasks in a round (one front at least).
+MOST_LOCAL, MOST_MERGED = 200_000, 500_000
 
 
 def dominated(points: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -58,24 +61,58 @@ def pareto_front(df: DataFrame, objectives: list[str]) -> DataFrame:
     return finite.mapInPandas(local, df.schema).repartition(1).mapInPandas(local, df.schema)  # a shuffle: coalesce would run the first step in one task too
 
 
-def _layers(x: np.ndarray, most: int) -> np.ndarray:
-    """The front of each row among these rows, or ``most`` for all from there on."""
-    rank, left = np.full(len(x), most), np.arange(len(x))
-    for level in range(most):
-        if not len(left):
-            break
-        best = front_mask(x[left])
-        rank[left[best]] = level
-        left = left[~best]
+def _layers(x: np.ndarray, most: int | None = None) -> np.ndarray:
+    """The front of each row among these rows; with ``most``, that for all from there on.
+
+    Up to three objectives: rows come best first by the first one, so that a row is in the first front
+    where none of the rows so far is as good in the other two. A front keeps its staircase of these, and
+    as who is dominated in one front is so in all before it, both are found by bisection.
+    """
+    most = len(x) if most is None else most
+    if x.shape[1] > 3:
+        rank, left = np.full(len(x), most), np.arange(len(x))
+        for level in range(most):
+            if not len(left):
+                break
+            best = front_mask(x[left])
+            rank[left[best]] = level
+            left = left[~best]
+        return rank
+    x = np.hstack([x, np.zeros((len(x), 3 - x.shape[1]))])
+    rank, order = np.zeros(len(x), int), np.lexsort((-x[:, 2], -x[:, 1], -x[:, 0]))
+    stairs: list[tuple[list[float], list[float]]] = []
+    last, level = None, 0
+    for i, p in zip(order.tolist(), x[order].tolist(), strict=True):
+        if p != last:  # equal rows share a front
+            last, (_, b, c) = p, p
+            level, high = 0, len(stairs)
+            while level < high:
+                mid = (level + high) // 2
+                bs, cs = stairs[mid]
+                at = bisect_left(bs, b)
+                if at < len(bs) and cs[at] >= c:
+                    level = mid + 1
+                else:
+                    high = mid
+            if level < most:
+                if level == len(stairs):
+                    stairs.append(([], []))
+                bs, cs = stairs[level]
+                high = low = bisect_right(bs, b)
+                while low and cs[low - 1] <= c:
+                    low -= 1
+                bs[low:high], cs[low:high] = [b], [c]
+        rank[i] = level
     return rank
 
 
-def fronts(df: DataFrame, objectives: list[str], key: str, at_once: int = 8) -> DataFrame:
+def fronts(df: DataFrame, objectives: list[str], key: str, most_merged: int = MOST_MERGED) -> DataFrame:
     """(key, front): 0 for the first front, and so on; rows with a missing or infinite objective come last.
 
-    A round finds the next ``at_once`` fronts of all rows. Each task keeps its own rows' first fronts,
-    as a row's front among some of the rows is never later than among all; what is left of all tasks
-    is ranked together, and the ranked rows are taken out before the next round.
+    A row's front among some of the rows is never later than among all. So tasks rank their own rows, and a
+    round takes as many of these local fronts as hold ``most_merged`` rows, one at least, ranks these rows
+    together, and has as many fronts of all rows; they are taken out before the next round. Rounds grow with
+    the rows over ``most_merged``, not with the fronts.
     """
     numbers = df.select(F.col(key), *(F.col(o).cast("double").alias(f"__o{i}") for i, o in enumerate(objectives))).withColumn("__row", F.monotonically_increasing_id())
     table = cut(numbers)
@@ -83,29 +120,42 @@ def fronts(df: DataFrame, objectives: list[str], key: str, at_once: int = 8) ->
     good = F.lit(True)
     for n in names:
         good = good & F.coalesce(F.abs(n) < float("inf"), F.lit(False))
-    left, bad = cut(table.where(good)), table.where(~good)
+    left, bad = table.where(good), table.where(~good)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
+        some, n = [], 0
         for b in batches:
-            kept = b if kept is None else pd.concat((kept, b))
-            kept = kept[_layers(kept[names].to_numpy(float), at_once) < at_once]
-        if kept is not None:
-            yield kept
+            some, n = [*some, b], n + len(b)
+            if n >= MOST_LOCAL:
+                yield ranked(pd.concat(some))
+                some, n = [], 0
+        if n:
+            yield ranked(pd.concat(some))
 
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for kept in local(batches):
-            yield pd.DataFrame({key: kept[key], "front": _layers(kept[names].to_numpy(float), at_once).astype(np.int32), "__row": kept["__row"]})
+    def ranked(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(__local=_layers(rows[names].to_numpy(float)))
 
     kind = df.schema[key].dataType.simpleString()
     found, level = [], 0
     while True:
-        some = cut(left.mapInPandas(local, left.schema).repartition(1).mapInPandas(merged, f"`{key}` {kind}, front int, __row long"))
-        top = some.agg(F.max("front")).first()[0]
-        if top is None:
+        own = cut(left.mapInPandas(local, f"`{key}` {kind}, {', '.join(f'{n} double' for n in names)}, __row long, __local long"))
+        take, rows = 0, 0
+        for r in own.groupBy("__local").agg(F.count("*").alias("n")).orderBy("__local").collect():  # a row for each local front
+            if take and rows + r.n > most_merged:
+                break
+            take, rows = take + 1, rows + r.n
+        if not take:
             break
+
+        def merged(batches: Iterator[pd.DataFrame], take: int = take) -> Iterator[pd.DataFrame]:
+            if some := list(batches):
+                rows = pd.concat(some)
+                rank = _layers(rows[names].to_numpy(float), take)
+                yield pd.DataFrame({key: rows[key], "front": rank.astype(np.int32), "__row": rows["__row"]})[rank < take]
+
+        some = cut(own.where(F.col("__local") < take).repartition(1).mapInPandas(merged, f"`{key}` {kind}, front int, __row long"))
         found.append(some.select(key, (F.col("front") + level).cast("int").alias("front")))
-        level += top + 1
+        level += some.agg(F.max("front")).first()[0] + 1
         left = cut(left.join(some.select("__row"), "__row", "left_anti").select(*left.columns))
     out = bad.select(key, F.lit(level).cast("int").alias("front"))
     for f in found:

@@ -36,3 +36,20 @@ def test_local_fronts_run_in_all_tasks(spark):
     plan = pareto.pareto_front(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
     assert "Coalesce 1" not in plan and "Exchange" in plan
     assert pareto.pareto_front(df, ["a", "b"]).count() == 100
+
+
+def test_rounds_dont_grow_with_the_fronts(spark):
+    df = spark.createDataFrame([(i, float(i), float(i % 7 == 0), float(i // 2)) for i in range(400)] + [(400, 5.0, None, 1.0)], "id long, a double, b double, c double")
+    rows = {i: (i, i % 7 == 0, i // 2) for i in range(400)}
+    rank = {}
+    for i in sorted(rows, reverse=True):  # who dominates has a greater id
+        rank[i] = max((rank[j] + 1 for j in range(i + 1, 400) if all(x >= y for x, y in zip(rows[j], rows[i], strict=True))), default=0)
+    assert max(rank.values()) > 100
+    spark.sparkContext.setJobGroup("fronts", "fronts")
+    got = {r.id: r.front for r in pareto.fronts(df, ["a", "b", "c"], "id").collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("fronts")
+    spark.sparkContext.setJobGroup("", "")
+    assert got == rank | {400: max(rank.values()) + 1}
+    assert len(jobs) < 60
+    some = df.where("id < 60")
+    assert {tuple(r) for r in pareto.fronts(some, ["a", "b", "c"], "id", most_merged=20).collect()} == {tuple(r) for r in pareto.fronts(some, ["a", "b", "c"], "id").collect()}
