@@ -3,8 +3,9 @@
 Points lie in cells of side eps along the three coordinates of largest spread (all, if there are fewer), so
 that whatever is within eps of a point lies in its own or a neighbouring cell; distances are taken in all
 coordinates. Cells of many points are dealt into tiles, and pairs of tiles of neighbouring cells are
-compared in numpy, each in a group of its own: work grows with the points within reach of each other, but
-no group with the data. Equal vectors are one point with a weight, so copies cost nothing.
+compared in numpy in blocks, each in a group of its own: work grows with the points within reach of each
+other, but no group with the data. Where cells hold most points, tiles grow with them, up to MOST_TILE
+points, so that up to TILES times that a point is sent to a bounded number of pairs. Equal vectors are one point with a weight, so copies cost nothing.
 
 A first pass over the pairs of tiles counts what is within eps, which decides core points; a second one
 links core points, and what comes out of a pair is a star for each local cluster, not all links. Clusters
@@ -29,6 +30,8 @@ from ferrolith.operators.graph import components
 from ferrolith.operators.ordered import cut
 
 TILE = 1024
+#: Tiles of all points, unless they would hold over MOST_TILE points.
+TILES, MOST_TILE = 12, 16_384
 GRID = 3
 
 
@@ -41,6 +44,14 @@ def _within(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np.nd
     return i[keep], j[keep]
 
 
+def _blocks(a: np.ndarray, b: np.ndarray, eps: float):
+    """``_within``, in blocks of rows of both."""
+    for s in range(0, len(a), TILE):
+        for t in range(0, len(b), TILE):
+            i, j = _within(a[s : s + TILE], b[t : t + TILE], eps)
+            yield i + s, j + t
+
+
 def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     """The two tiles of a pair; one and the same if it is a tile with itself."""
     left = pdf[pdf.side == 0].reset_index(drop=True)
@@ -48,25 +59,33 @@ def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     return left, right if len(right) else left
 
 
-def _roots(n: int, links: list[tuple[int, int]]) -> list[int]:
-    root = list(range(n))
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The roots of all, once i and j are linked."""
+    pairs = np.unique(np.stack([root[i], root[j]], 1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    if not len(pairs):
+        return root
+    above = np.arange(len(root))
 
     def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
         return x
 
-    for x, y in links:
-        root[find(x)] = find(y)
-    return [find(x) for x in range(n)]
+    for x, y in pairs.tolist():
+        above[find(x)] = find(y)
+    while (above[above] != above).any():
+        above = above[above]
+    return above[root]
 
 
-def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples: int = 5, tile: int = TILE) -> DataFrame:
+def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples: int = 5, tile: int | None = None) -> DataFrame:
     """(key: long and distinct, cluster, core); see the module for what decides."""
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
     sound = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     points = cut(rows.where(sound).groupBy("v").agg(F.min("key").alias("p"), F.count("*").alias("w")))
+    tile = tile or min(max(TILE, -(-points.count() // TILES)), MOST_TILE)
     spread = points.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("s")).orderBy(F.desc("s"), "i").limit(GRID).collect()
     axes = [r.i for r in spread] or [0]
     cells = [f"c{k}" for k in range(len(axes))]
@@ -91,11 +110,12 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
         left, right = _sides(pdf)
         if right is not left and (not len(left) or pdf.side.nunique() < 2):
             return pd.DataFrame({"p": [], "n": []})
-        i, j = _within(np.array(left.v.tolist()), np.array(right.v.tolist()), eps)
-        out = pd.DataFrame({"p": left.p, "n": np.bincount(i, right.w.to_numpy()[j], len(left)).astype(int)})
-        if right is left:
-            return out
-        return pd.concat([out, pd.DataFrame({"p": right.p, "n": np.bincount(j, left.w.to_numpy()[i], len(right)).astype(int)})])
+        here, there = np.zeros(len(left)), np.zeros(len(right))
+        for i, j in _blocks(np.array(left.v.tolist()), np.array(right.v.tolist()), eps):
+            here += np.bincount(i, right.w.to_numpy()[j], len(left))
+            there += np.bincount(j, left.w.to_numpy()[i], len(right))
+        out = pd.DataFrame({"p": left.p, "n": here.astype(int)})
+        return out if right is left else pd.concat([out, pd.DataFrame({"p": right.p, "n": there.astype(int)})])
 
     met = placed.join(ends, [*cells, "t"])
     totals = met.select("pair", "side", "p", "w", "v").groupBy("pair").applyInPandas(counted, "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
@@ -105,15 +125,15 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
         left, right = _sides(pdf)
         if not len(left):
             return pd.DataFrame({"p": [], "q": [], "core": []})
-        i, j = _within(np.array(left.v.tolist()), np.array(right.v.tolist()), eps)
         both = left if right is left else pd.concat([left, right], ignore_index=True)
-        j = j + (0 if right is left else len(left))
-        p, core = both.p.to_numpy(), both.core.to_numpy(bool)
-        firm = core[i] & core[j]
-        root = np.array(_roots(len(both), list(zip(i[firm].tolist(), j[firm].tolist(), strict=True))))
-        edge, heart = np.concatenate([i[~core[i] & core[j]], j[core[i] & ~core[j]]]), np.concatenate([j[~core[i] & core[j]], i[core[i] & ~core[j]]])
+        p, core, root, touch = both.p.to_numpy(), both.core.to_numpy(bool), np.arange(len(both)), np.zeros((0, 2), int)
+        for i, j in _blocks(np.array(left.v.tolist()), np.array(right.v.tolist()), eps):
+            j = j + (0 if right is left else len(left))
+            root = _joined(root, i[core[i] & core[j]], j[core[i] & core[j]])
+            edge, heart = np.concatenate([i[~core[i] & core[j]], j[core[i] & ~core[j]]]), np.concatenate([j[~core[i] & core[j]], i[core[i] & ~core[j]]])
+            touch = np.unique(np.concatenate([touch, np.stack([edge, root[heart]], 1)]), axis=0)
+        touch = np.unique(np.stack([touch[:, 0], root[touch[:, 1]]], 1), axis=0)
         stars = np.flatnonzero(core & (root != np.arange(len(both))))
-        touch = np.unique(np.stack([edge, root[heart]], 1), axis=0) if len(edge) else np.zeros((0, 2), int)
         return pd.DataFrame({"p": np.concatenate([p[stars], p[touch[:, 0]]]), "q": np.concatenate([p[root[stars]], p[touch[:, 1]]]), "core": np.repeat([True, False], [len(stars), len(touch)])})
 
     found = cut(met.join(cores, "p").select("pair", "side", "p", "w", "v", "core").groupBy("pair").applyInPandas(linked, "p long, q long, core boolean"))

@@ -89,3 +89,15 @@ def test_nearest_prunes(spark):
     assert nearest.nearest(df, df.limit(0), "id", "v").where("nearest is null").count() == 200
     assert nearest.nearest(df.limit(0), df, "id", "v").count() == 0
     assert [r.nearest for r in nearest.nearest(df.limit(1), df.limit(1), "id", "v").collect()] == [None]
+
+
+def test_tiles_grow_so_that_points_are_sent_few_times(spark, monkeypatch):
+    monkeypatch.setattr(density, "TILE", 16)
+    x = np.random.default_rng(4).normal(size=(600, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    sent = []
+    cut = density.cut
+    monkeypatch.setattr(density, "cut", lambda t: sent.append(t.count()) or cut(t) if "side" in t.columns and "pair" in t.columns else cut(t))
+    got = {(r.id, r.cluster, r.core) for r in density.dbscan(df, "id", "v", 9.0, 5).collect()}
+    want = {(r.id, r.cluster, r.core) for r in density.dbscan(df, "id", "v", 9.0, 5, 16).collect()}
+    assert got == want and sent[0] < sent[1] / 4
