@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ferrolith.functions import chem
 from ferrolith.functions.numeric import clip, normal_cdf, sigmoid
+from ferrolith.operators.ordered import cut
 
 
 def criterion(column: str, wanted) -> Column:
@@ -165,7 +166,8 @@ def fuzzy(df: DataFrame, query: str, column: str = "formula", cutoff: float = 0.
 
     Each row counts, so that a name of ``k`` rows or more leaves no place for lesser ones; equal ratios go
     by the later name. Names are told apart first, and only those are matched whose length and common
-    letters allow the ratio at all. Blank queries and null names match nothing.
+    letters allow the ratio at all. Both steps are cut, as Spark would push what only needs the name down to
+    every row, before names are told apart. Blank queries and null names match nothing.
     """
     query = query.strip()
     names = df.select(F.col(column).cast("string").alias(column)).where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
@@ -173,8 +175,8 @@ def fuzzy(df: DataFrame, query: str, column: str = "formula", cutoff: float = 0.
         return names.select(column, F.lit(0.0).alias("ratio"), "n").limit(0)
     size, m = F.char_length(column), len(query)
     common = sum((F.least(size - F.char_length(F.replace(F.col(column), F.lit(c), F.lit(""))), F.lit(query.count(c))) for c in sorted(set(query))), F.lit(0))
-    near = names.where((2.0 * F.least(size, F.lit(m)) >= cutoff * (size + m)) & (2.0 * common >= cutoff * (size + m)))
-    best = matching(near, query, column).where(F.col("ratio") >= cutoff).orderBy(F.desc("ratio"), F.desc(column)).limit(k)
+    near = cut(names).where((2.0 * F.least(size, F.lit(m)) >= cutoff * (size + m)) & (2.0 * common >= cutoff * (size + m)))
+    best = cut(matching(near, query, column)).where(F.col("ratio") >= cutoff).orderBy(F.desc("ratio"), F.desc(column)).limit(k)
     before = Window.orderBy(F.desc("ratio"), F.desc(column)).rowsBetween(Window.unboundedPreceding, -1)  # over k names at most
     return best.withColumn("__b", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("__b") < k).select(column, "ratio", "n")
 

@@ -97,3 +97,9 @@ def test_kappa_schedules():
     assert k(5, "gp_ucb", dims=4) == pytest.approx(math.sqrt(2 * math.log(5**4 * math.pi**2 / 0.3))) and k(0, "gp_ucb", delta=0.999999, floor=9.0) == 9.0
     with pytest.raises(ValueError):
         k(1, "other")
+
+
+def test_names_are_matched_once_each(spark):
+    df = spark.range(100).selectExpr("concat('Fe', id % 3) as formula")
+    plan = search.fuzzy(df, "Fe2", cutoff=0.5, k=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [" not in plan  # nothing can be pushed below the table of names
