@@ -234,7 +234,8 @@ def sweep(todo: DataFrame, gaps: DataFrame, most: int, rows: int) -> Sweep:
     """One sweep: pieces ``todo`` (id, size), none over ``most``, into ``gaps`` (id, size); ``rows`` in all."""
     both = todo.select("id", "size", F.lit(False).alias("gap")).unionAll(gaps.select("id", "size", F.lit(True).alias("gap")))
     order = [F.desc("size"), F.desc("gap"), F.xxhash64("id"), F.col("id")]
-    ranged = both.repartitionByRange(max(1, rows // RANGE_ROWS), *order).sortWithinPartitions(*order)
+    ranges = rows // RANGE_ROWS
+    ranged = (both.repartitionByRange(ranges, *order) if ranges > 1 else both.coalesce(1)).sortWithinPartitions(*order)  # one range needs no shuffle
     found = saved(ranged.mapInArrow(lambda it: _matched(it, most), "id long, size long, kind long, bin long, slots long, rank long, part long"))
     ends = sorted((r.part, r.id, r.size) for r in found.where(F.col("kind") == ENDS).collect())
     open_, shares = [], []  # ranges settle by ranks: a row for each range, and at most two shares for each

@@ -222,3 +222,15 @@ def test_sharding_splits_rows_that_repeat(spark):
     assert sum(r.n for r in rows) == 2000 and len(rows) == 16 and all(r.last == r.n - 1 for r in rows)
     mean = sum(r.b for r in rows) / 16
     assert max(abs(r.b / mean - 1) for r in rows) < 0.05 and max(abs(r.n / 125 - 1) for r in rows) < 0.25
+
+
+def test_one_range_of_a_sweep_needs_no_shuffle(spark, monkeypatch):
+    from ferrolith.llm import packing
+
+    table = packing.saved(spark.range(300).selectExpr("id", "1 + id * 37 % 100 as size"))
+    monkeypatch.setattr(type(table), "repartitionByRange", None)
+    placed = packing.place(table, 100).collect()
+    load = {}
+    for r in placed:
+        load[r.bin] = load.get(r.bin, 0) + r.size
+    assert len(placed) == 300 and max(load.values()) <= 100
